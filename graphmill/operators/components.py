@@ -36,11 +36,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nulls and self-links are ignored; nodes without a link to another node don't come out (their
     label is themselves). An empty input gives an empty output.
     """
-    edges = edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct()
-    # A star whose leaves have no other link is already labelled; the rounds below only confirm it.
+    # Every stage that is read more than once is cut off, or plans would double with each use.
+    edges = checkpoint(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct())
     seen = None
     for _ in range(max_rounds):
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(_small_star(checkpoint(_large_star(edges))))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

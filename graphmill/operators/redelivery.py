@@ -92,7 +92,7 @@ class MessageStore:
     def apply(self, incoming: DataFrame) -> None:
         """Merge a batch of deliveries; repeats inside the batch and against history both count."""
         state = self.manifest()
-        keys = delivery_keys(incoming)
+        keys = materialize(delivery_keys(incoming), "p7-keys")
         start = F.coalesce("k_event", "k_provider", "own")
         known = None
         links = keys.where("k_event is not null and k_provider is not null").select(F.col("k_event").alias("u"), F.col("k_provider").alias("v"))
@@ -102,9 +102,10 @@ class MessageStore:
             hits = index.join(wanted, "key", "left_semi").groupBy("key").agg(F.max_by(F.struct("label", "day"), "version").alias("x")).select("key", "x.label", "x.day")
             known = materialize(hits, "p7-hits")
             links = links.unionByName(known.select(F.col("key").alias("u"), F.col("label").alias("v")))
+        links = materialize(links.distinct(), "p7-links")
         # Only identifiers that share a neighbour with others need rounds; lone pairs are labelled here.
         labels = connected_components(_knotted(links))
-        pair = links.distinct()
+        pair = links
         simple = pair.select(F.col("u").alias("node"), F.least("u", "v").alias("label")).unionByName(pair.select(F.col("v").alias("node"), F.least("u", "v").alias("label")))
         simple = simple.join(labels.select("node"), "node", "left_anti").groupBy("node").agg(F.min("label").alias("label"))
         label = materialize(labels.unionByName(simple), "p7-labels")
@@ -150,7 +151,6 @@ class MessageStore:
 
 def _knotted(links: DataFrame) -> DataFrame:
     """Links in a component of three or more identifiers: one end has another link."""
-    links = links.distinct()
     busy = links.select(F.col("u").alias("n")).unionByName(links.select(F.col("v").alias("n"))).groupBy("n").count().where("count > 1").select("n")
     return links.join(busy.withColumnRenamed("n", "u"), "u", "left_semi").unionByName(links.join(busy.withColumnRenamed("n", "v"), "v", "left_semi")).distinct()
 
