@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_vectors"]
+MODULES = ["q_vectors", "q_spans"]
 
 
 def _loaded():
