@@ -64,11 +64,12 @@ def with_token_counts(df: DataFrame, keep: dict, text: str = "text", vocabulary:
     """
     rows = df.select(*[c.alias(n) for n, c in keep.items()], F.col(text).cast("string").alias("__text"))
     schema = rows.drop("__text").schema.add("n_tokens", "long")
+    names = [*keep, "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count
         for b in batches:
             n = pa.array([count(t) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*keep, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=names)
 
     return rows.mapInArrow(run, schema)
