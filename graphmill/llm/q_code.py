@@ -1,10 +1,11 @@
-"""Problems 4 and 5: documented functions, and source files that do not parse."""
+"""Problems 4, 5 and 6: documented functions, files that do not parse, files not written by hand."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.llm.handwritten import not_handwritten
 from graphmill.llm.sourcefiles import CHECKED, documented_functions, invalid_files
 from graphmill.session import table
 
@@ -37,5 +38,14 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("service", "language", "files", n.alias("invalid"), F.round(n / F.col("files"), 6).alias("rate"), "files_failed")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_handwritten(table(spark, sf_dir, "source_files")).select("file_id").distinct()
+
+
+def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files not written by hand, by service, language and reason."""
+    return not_handwritten(table(spark, sf_dir, "source_files")).groupBy("service", "language", "reason").agg(F.count("*").alias("files"))
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_errors": p5_errors, "p5_rates": p5_rates}
+    return {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_errors": p5_errors, "p5_rates": p5_rates, "p6_found": p6_found, "p6_reasons": p6_reasons}
