@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_vectors", "q_spans", "q_packing", "q_mixing", "q_code"]
+MODULES = ["q_vectors", "q_spans", "q_packing", "q_mixing", "q_code", "q_secrets"]
 
 
 def _loaded():
