@@ -48,6 +48,8 @@ DATA_NAMES = math.log1p(14)
 _LITERAL = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w.])-?\d[\w.]*", re.S)
 _COMMENT = re.compile(r"/\*.*?\*/|<!--.*?-->|(?<![:\"'\w])//[^\n]*|(?m:^\s*#[^\n{]*)", re.S)
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\w\s]")
+_NAMES = re.compile(r"[A-Za-z_$][\w$]*")
+_WORDLIKE = re.compile(r"\w+")
 _FLOW = set("if else elif for while return when switch case try catch except raise throw await yield and or not in of with do".split())
 
 
@@ -73,48 +75,50 @@ def notice(head: str, own: tuple[str, ...] = OWN) -> str | None:
 
 
 def features(body: str) -> list[float]:
+    """Numbers that describe a body's looks; sums run over distinct tokens and lines, not over all."""
     n = max(1, len(body))
     raw = body.encode("utf-8", "surrogatepass")
-    tokens = _TOKEN.findall(body)
-    count = Counter(tokens)
-    total = max(1, len(tokens))
-    entropy = -sum(c / total * math.log2(c / total) for c in count.values()) if tokens else 0.0
-    ids = [t for t in tokens if t[0].isalpha() or t[0] in "_$"]
-    k = max(1, len(ids))
-    lines = body.split("\n")
-    sizes = np.array([len(x) for x in lines], float)
-    filled = [x.strip() for x in lines if x.strip()]
-    shapes = Counter(re.sub(r"\w+", "a", x) for x in filled)
-    literal = _LITERAL.findall(body)
-    outside = [t for t in _TOKEN.findall(_LITERAL.sub(" ", body)) if t[0].isalpha() or t[0] in "_$"]
-    dense = max(1, sum(not c.isspace() and c not in ",;" for c in body))
-    comment = _COMMENT.findall(body)
-    nums = [t for t in tokens if t[0].isdigit()]
+    count = Counter(_TOKEN.findall(body))
+    total = max(1, sum(count.values()))
+    freq = np.fromiter(count.values(), float, len(count)) / total
+    entropy = float(-(freq * np.log2(freq)).sum()) if count else 0.0
+    ids = {t: c for t, c in count.items() if t[0].isalpha() or t[0] in "_$"}
+    k = max(1, sum(ids.values()))
+    nums = sum(c for t, c in count.items() if t[0].isdigit())
+    sizes = np.array([len(x) for x in body.split("\n")], float)
+    shapes = Counter(y for y in (x.strip() for x in _WORDLIKE.sub("a", body).split("\n")) if y)
+    filled = max(1, sum(shapes.values()))
+    literal = [len(x) for x in _LITERAL.findall(body)]
+    comment = [len(x) for x in _COMMENT.findall(body)]
+    outside = Counter(_NAMES.findall(_LITERAL.sub(" ", body)))
+    names = sum(outside.values())
+    compact = "".join(body.split())
+    dense = max(1, len(compact) - compact.count(",") - compact.count(";"))
     return [
         len(zlib.compress(raw, 6)) / max(1, len(raw)),
         entropy,
         entropy / math.log2(total + 1),
-        sum(map(len, ids)) / k,
-        sum(len(t) <= 2 for t in ids) / k,
-        sum(t[-1].isdigit() for t in ids) / k,
-        len(set(ids)) / k,
-        sum(map(len, comment)) / n,
-        len(comment) / max(1, len(filled)),
+        sum(len(t) * c for t, c in ids.items()) / k,
+        sum(c for t, c in ids.items() if len(t) <= 2) / k,
+        sum(c for t, c in ids.items() if t[-1].isdigit()) / k,
+        len(ids) / k,
+        sum(comment) / n,
+        len(comment) / filled,
         math.log1p(float(sizes.mean())),
         math.log1p(float(sizes.max())),
         float(sizes[sizes > 200].sum()) / n,
-        sum(map(len, literal)) / dense,
-        max(map(len, literal), default=0) / n,
-        len(nums) / total,
-        len(shapes) / max(1, len(filled)),
-        max(shapes.values(), default=0) / max(1, len(filled)),
-        sum(c.isspace() for c in body) / n,
-        sum(t in _FLOW for t in ids) / k,
-        (total - len(ids) - len(nums)) / total,
+        sum(literal) / dense,
+        max(literal, default=0) / n,
+        nums / total,
+        len(shapes) / filled,
+        max(shapes.values(), default=0) / filled,
+        (len(body) - len(compact)) / n,
+        sum(ids.get(t, 0) for t in _FLOW) / k,
+        (total - sum(ids.values()) - nums) / total,
         math.log1p(n),
-        math.log1p(len(filled)),
-        math.log1p(len(outside)),
-        sum(t in _FLOW for t in outside) / max(1, len(outside)),
+        math.log1p(filled),
+        math.log1p(names),
+        sum(outside.get(t, 0) for t in _FLOW) / max(1, names),
     ]
 
 
