@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import problems
+from graphmill.plans import problems, reference
 
-MODULES = [problems]
+MODULES = [problems, reference]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["t4_merge_candidates"](spark, sf_dir)
+    return queries()["ref_t4_merge_candidates"](spark, sf_dir)
 
 
 def queries() -> dict:

@@ -73,7 +73,7 @@ def ttl_dedup(events: DataFrame, key: str, at: str, ttl_seconds: int = 300) -> D
     runs = t.withColumn("run", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(w))
     folded = runs.groupBy(key, "run").agg(F.sort_array(F.collect_list(F.unix_micros(F.col(at)))).alias("ts"))
     keep = F.aggregate("ts", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) > ttl_seconds * 1_000_000), F.concat(acc, F.array(x))).otherwise(acc))
-    return folded.select(key, F.timestamp_micros(F.explode(keep)).alias(at))
+    return folded.select(key, F.explode(keep).alias("us")).select(key, F.timestamp_micros("us").alias(at))
 
 
 def ttl_dedup_stream(events: DataFrame, key: str, at: str, ttl_seconds: int = 300) -> DataFrame:
