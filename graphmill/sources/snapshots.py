@@ -14,7 +14,10 @@ from graphmill.functions.paths import DENIED, MAX_PARSE_BYTES, MAX_SCAN_BYTES, S
 
 
 def scan_folder(spark: SparkSession, root: str, service: str) -> DataFrame:
-    """``(service, file_path, content, size_bytes, mtime)`` of all files below ``root``."""
+    """``(service, file_path, content, size_bytes, mtime)`` of all files below ``root``.
+
+    Files of no bytes hold no symbols; the binary reader does not list them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://")
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^\\Q{base}\\E/?", "")
