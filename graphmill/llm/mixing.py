@@ -74,5 +74,5 @@ def distinct_texts(docs: DataFrame, plan_names: DataFrame) -> DataFrame:
     ``docs(doc_id, source, tid, n_tokens)``; the smallest ``doc_id`` stands for the text and names its
     source. Texts without tokens, ids or a target source are left out.
     """
-    d = docs.where("n_tokens > 0 and doc_id is not null").withColumn("source", source_name(F.col("source"))).join(plan_names.select("source").distinct(), "source", "left_semi")
+    d = docs.where("n_tokens > 0 and doc_id is not null").withColumn("source", source_name(F.col("source"))).join(plan_names.select(source_name(F.col("source")).alias("source")).distinct(), "source", "left_semi")
     return d.groupBy("tid").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("d")).select("d.doc_id", "d.source", "tid", "d.n_tokens")

@@ -26,12 +26,12 @@ def sum_of_squares(sizes: list[int], capacity: int) -> tuple[list[int], list[int
     for s in sizes:
         before = count[s:]
         # Moving a pack from gap g to g - s changes the sum by 2 (N[g-s] - N[g]) + 2; a pack that closes only leaves.
-        change = np.where(before > 0, count[: capacity + 1 - s] - before + 1, NEVER)
-        gap, least = -1, count[capacity - s] * 2 + 1 if s < capacity else 0
+        change = np.where(before > 0, 2 * (count[: capacity + 1 - s] - before + 1), NEVER)
         if before[0]:
-            change[0] = -before[0]
+            change[0] = 1 - 2 * before[0]
+        gap, least = -1, 2 * count[capacity - s] + 1 if s < capacity else 0
         best = int(change.argmin())
-        if change[best] != NEVER and (2 * change[best] + (best == 0)) <= least:
+        if change[best] <= least:
             gap = best + s
         if gap < 0:
             p, gap = made, capacity

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm.mixing import distinct_texts, plan_sources, source_name, training_order
+from graphmill.llm.mixing import distinct_texts, plan_sources, training_order
 from graphmill.llm.tokens import with_token_counts
 from graphmill.session import materialize, table
 
@@ -13,7 +13,7 @@ from graphmill.session import materialize, table
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
     sized = with_token_counts(docs, {"doc_id": F.col("doc_id"), "source": F.col("source"), "tid": F.xxhash64("text", F.length("text"))})
-    texts = materialize(distinct_texts(sized, targets.select(source_name(F.col("source")).alias("source"))), "p9-texts")
+    texts = materialize(distinct_texts(sized, targets), "p9-texts")
     plan = materialize(plan_sources(texts, targets), "p9-plan")
     return training_order(texts, plan), plan
 
