@@ -273,16 +273,24 @@ def grammar_functions(text: str, name: str) -> list[Function]:
     t = _Tree(language(name).tokens(text.replace("\r\n", "\n").replace("\r", "\n")))
     out: list[Function] = []
     stack: list[tuple[str, str | None]] = [("top", None)]
-    start = 0
+    start, open_parens = 0, 0
+    heads: list[tuple[int, int]] = []  # what the enclosing level had open
     for i, x in enumerate(t.text):
-        if x == "{":
-            stack.append(_owner(t, start, i, kind))
-            start = i + 1
+        if x == "(":
+            open_parens += 1
+        elif x == ")":
+            open_parens = max(0, open_parens - 1)
+        elif x == "{":
+            stack.append(_owner(t, start, i, kind) if not open_parens else ("other", None))
+            heads.append((start, open_parens))
+            start, open_parens = i + 1, 0
         elif x == "}":
             if len(stack) > 1:
                 stack.pop()
-            start = i + 1
-        elif x == ";":
+            # Braces inside a head's parentheses don't end the head.
+            before, open_parens = heads.pop() if heads else (i + 1, 0)
+            start = before if open_parens else i + 1
+        elif x == ";" and not open_parens:
             start = i + 1
         elif x.startswith("/**") and len(x) > 4:
             at = _after_annotations(t, i + 1, t.end_line(i))
