@@ -71,9 +71,9 @@ def probe(s: SparkSession, d: str) -> list[float]:
     return usable_chunks(s, d).orderBy("chunk_id").select("embedding").first()[0]
 
 
-def issue(s: SparkSession, d: str) -> DataFrame:
+def issue(s: SparkSession, d: str) -> str:
     """The issue text: the first issue among the documents (one row)."""
-    return table(s, d, "documents").where((F.lower(F.trim("source")) == "issue") & (F.length("text") > 0)).orderBy("doc_id").limit(1).select(F.col("text").alias("issue"))
+    return table(s, d, "documents").where((F.lower(F.trim("source")) == "issue") & (F.length("text") > 0)).orderBy("doc_id").select("text").first()[0]
 
 
 ISSUE = "issue AS (SELECT text AS issue FROM documents WHERE lower(trim(source)) = 'issue' AND length(text) > 0 ORDER BY doc_id LIMIT 1)"
@@ -123,8 +123,7 @@ def f2(s, d):
     "f AS (SELECT service, min(symbol_id) AS sf FROM r GROUP BY 1) SELECT r.service, symbol_id, overlap, rank FROM r JOIN f USING (service) WHERE rank <= 5 ORDER BY overlap DESC, sf, symbol_id LIMIT 40",
 )
 def w1(s, d):
-    rows = latest_symbols(s, d).crossJoin(F.broadcast(issue(s, d)))  # one row beside
-    return rank.rank_symbols(rows, F.col("issue"), "symbol_id").select("service", "symbol_id", "overlap", "rank")
+    return rank.rank_symbols(latest_symbols(s, d), F.lit(issue(s, d)), "symbol_id").select("service", "symbol_id", "overlap", "rank")
 
 
 @query("ref_f7_qualified_name", "SELECT symbol_id, CASE WHEN parent_class IS NULL THEN file_path || '::' || name ELSE file_path || '::' || split_part(parent_class, '::', 2) || '.' || name END AS built FROM parsed_symbols")
@@ -329,8 +328,8 @@ def f6(s, d):
 @query("ref_k4_replace_edges", f"WITH {CALLS}, w AS (SELECT DISTINCT source, min(target) OVER () AS target FROM calls WHERE source < 'm') SELECT source, target FROM calls WHERE source NOT IN (SELECT source FROM w) UNION SELECT source, target FROM w WHERE target IN (SELECT name FROM services)")
 def k4(s, d):
     c = calls(s, d)
-    low = c.where("source < 'm'").agg(F.min("target").alias("target"))
-    wanted = c.where("source < 'm'").select("source").distinct().crossJoin(F.broadcast(low))  # one row
+    low = c.where("source < 'm'").agg(F.min("target")).first()[0]
+    wanted = c.where("source < 'm'").select("source", F.lit(low).alias("target")).distinct()
     return maintain.replace_edges(c, wanted, services(s, d))
 
 
