@@ -20,7 +20,7 @@ def source_name(c):
 
 
 def plan_sources(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None, curriculum: float = 0.8) -> DataFrame:
-    """One row per target source: ``(source, target_weight, weight, max_repeats, texts, tokens, demand, tilt)``.
+    """One row per target source: ``(source, target_weight, weight, max_repeats, texts, tokens, demand, tilt, total)``.
 
     ``weight`` is the target shared out among sources that have tokens. The size of the mix is the
     largest at which every such source reaches its weight within its repeats (or ``total_tokens`` if
@@ -39,7 +39,8 @@ def plan_sources(texts: DataFrame, targets: DataFrame, total_tokens: int | None
     rank = Window.partitionBy(F.lit(0)).orderBy(F.when(live, F.col("tokens") / F.col("texts")).otherwise(0.0), "source")
     s = s.withColumn("z", F.percent_rank().over(rank))
     s = s.withColumn("tilt", F.lit(curriculum) * (F.sum(F.col("weight") * F.col("z")).over(every) - F.col("z")))
-    return s.select("source", "target_weight", "weight", "max_repeats", "texts", "tokens", "demand", "tilt")
+    s = s.withColumn("total", F.sum("demand").over(every))
+    return s.select("source", "target_weight", "weight", "max_repeats", "texts", "tokens", "demand", "tilt", "total")
 
 
 def training_order(texts: DataFrame, plan: DataFrame, seed: int = 1, bucket_rows: int = 20_000) -> DataFrame:
@@ -49,7 +50,7 @@ def training_order(texts: DataFrame, plan: DataFrame, seed: int = 1, bucket_rows
     its demand is met; a text enters if at least half of it still fits. ``position`` runs over tokens
     of the whole mix.
     """
-    t = texts.join(plan.select("source", "max_repeats", F.col("texts").alias("texts_all"), F.col("tokens").alias("all"), "demand", "tilt"), "source").where("n_tokens > 0")
+    t = texts.join(plan.select("source", "max_repeats", F.col("texts").alias("texts_all"), F.col("tokens").alias("all"), "demand", "tilt", "total"), "source").where("n_tokens > 0")
     h = F.xxhash64("tid", F.lit(seed))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("texts_all") / F.lit(bucket_rows)))
     t = t.withColumns({"h": h, "b": F.pmod(h, buckets)})
@@ -63,8 +64,6 @@ def training_order(texts: DataFrame, plan: DataFrame, seed: int = 1, bucket_rows
     a = F.col("tilt")
     root = ((1 + a) - F.sqrt(F.greatest(F.lit(0.0), (1 + a) * (1 + a) - 4 * a * F.col("share")))) / (2 * a)
     time = F.when(F.abs(a) < 1e-9, F.col("share")).otherwise(root)
-    total = plan.agg(F.sum("demand").alias("total"))
-    t = t.crossJoin(F.broadcast(total))  # one row
     return t.select(F.floor(time * F.col("total")).cast("bigint").alias("position"), "source", "doc_id", "epoch", "n_tokens")
 
 

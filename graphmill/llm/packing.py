@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NEVER = np.int64(1) << 40
+#: Pack sizes are a short list of settings, not data.
+MOST_SIZES = 1000
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -58,9 +60,12 @@ def pack_items(items: DataFrame, sizes: DataFrame, items_per_group: int = 25_000
     n = items.count()
     groups = max(1, math.ceil(n / items_per_group))
     src = items.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n"))
-    kinds = sizes.select("pack_name", F.col("capacity_tokens").cast("int").alias("cap")).where("cap > 0").distinct()
-    # Each item is wanted once for each pack size: a fixed, tiny table beside it.
-    both = src.crossJoin(F.broadcast(kinds.limit(1000)))
+    kinds = sizes.select("pack_name", F.col("capacity_tokens").cast("int").alias("cap")).where("cap > 0").distinct().orderBy("cap", "pack_name").take(MOST_SIZES + 1)
+    if len(kinds) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} pack sizes")
+    # Each item is wanted once for each pack size.
+    each = [F.struct(F.lit(k[0]).cast("string").alias("pack_name"), F.lit(k[1]).alias("cap")) for k in kinds]
+    both = src.select("doc_id", "n", F.explode(F.array(*each)).alias("k")).select("k.pack_name", "k.cap", "doc_id", "n") if each else src.select(F.lit("").alias("pack_name"), F.lit(1).alias("cap"), "doc_id", "n").where("false")
     empty = both.where("n <= 0").select("pack_name", F.col("cap").alias("capacity_tokens"), F.lit(None).cast("bigint").alias("pack_id"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("piece_start"), F.lit(0).alias("piece_tokens"), F.lit(0).alias("pack_offset"))
 
     def pack(t: pa.Table) -> pa.Table:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.llm.mixing import distinct_texts, plan_sources, training_order
@@ -28,8 +28,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted and reached share of each source; one without texts reaches none."""
     rows, plan = _mix(spark, sf_dir)
     got = rows.groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"), F.count("*").alias("mix_rows"), F.max(F.col("epoch") + 1).alias("most_repeats"))
-    total = got.agg(F.sum("mix_tokens").alias("all_tokens"))
-    out = plan.join(got, "source", "left").crossJoin(F.broadcast(total))
+    out = plan.join(got, "source", "left").withColumn("all_tokens", F.sum("mix_tokens").over(Window.partitionBy(F.lit(0))))  # one row a target
     zero = F.lit(0)
     return out.select("source", "target_weight", F.round("weight", 6).alias("weight"), "max_repeats", "texts", "tokens", F.coalesce("mix_rows", zero).alias("mix_rows"), F.coalesce("mix_tokens", zero).alias("mix_tokens"), F.coalesce("most_repeats", zero).alias("most_repeats"), F.round(F.coalesce(F.col("mix_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("share"))
 
