@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions import hashing, paths, payload, tokens
 from graphmill.functions.proximity import service_references
-from graphmill.operators import digest, graph, maintain, plan_doc, rank, vector, verify
+from graphmill.operators import digest, graph, ingest, maintain, plan_doc, rank, vector, verify
 from graphmill.operators.redelivery import instant, provider_id
 from graphmill.parse.symbols import parse_symbols
 from graphmill.session import table
@@ -509,6 +509,20 @@ def w7(s, d):
     return table(s, d, "chunks").select("chunk_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).mapInArrow(run, "chunk_id bigint, chars int, batch bigint")
 
 
+@query("ref_w8_chunks")
+def w8(s, d):
+    """Functions cut into chunks of at most 700 characters, each opened by its signature."""
+    return ingest.chunk_functions(latest_symbols(s, d).where("kind = 'function'"))
+
+
+@query("ref_d2_incremental")
+def d2(s, d):
+    """The symbol table after the change feed between each service's first and last run."""
+    feed = _feed(s, d).withColumn("action", F.when(F.col("status") == "removed", "delete").when(F.col("status") == "renamed", "relabel").otherwise("reparse"))
+    sym = latest_symbols(s, d).select("service", "file_path", "qualified_name", "name", "docstring")
+    return ingest.incremental_ingest(sym, sym, feed, ["service", "qualified_name"])
+
+
 @query("ref_p15_symbols")
 def p15(s, d):
     return parse_symbols(table(s, d, "source_files"))
