@@ -53,6 +53,14 @@ _WORDLIKE = re.compile(r"\w+")
 _FLOW = set("if else elif for while return when switch case try catch except raise throw await yield and or not in of with do".split())
 
 
+def readable(content: bytes) -> str:
+    """Text of a file in UTF-8, else in UTF-16 where its mark says so, else in a one-byte code."""
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        return content.decode("utf-16" if content[:2] in (b"\xff\xfe", b"\xfe\xff") else "cp1252", "replace")
+
+
 def split_head(text: str) -> tuple[str, str]:
     """(leading comments, body)."""
     at, n = 0, len(text)
@@ -141,7 +149,7 @@ def _is_json(body: str) -> bool:
 def file_facts(files: DataFrame, own: tuple[str, ...] = OWN) -> DataFrame:
     """``(file_id, service, language, label, x, shingles)`` of files with content, csv left out.
 
-    Bytes that are not UTF-8 are read with replacement characters; syntax does not matter.
+    Files in other encodings than UTF-8 are read as what they seem to be; syntax does not matter.
     """
     src = files.where(F.col("content").isNotNull() & (F.coalesce(F.lower("language"), F.lit("")) != "csv")).select(F.col("file_id").cast("bigint").alias("file_id"), F.coalesce("service", F.lit("")).alias("service"), "language", F.coalesce("file_path", F.lit("")).alias("file_path"), "content")
 
@@ -149,7 +157,7 @@ def file_facts(files: DataFrame, own: tuple[str, ...] = OWN) -> DataFrame:
         for b in batches:
             labels, xs, shs = [], [], []
             for path, content in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                head, body = split_head(content.decode("utf-8", "replace").replace("\r\n", "\n"))
+                head, body = split_head(readable(content).replace("\r\n", "\n"))
                 x = features(body)
                 label = notice(head, own)
                 if label is None and BUNDLE.search(path):

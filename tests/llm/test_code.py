@@ -136,7 +136,7 @@ def test_not_handwritten(spark):
     rows = [(f"src/h{i}.py", "python", hand(i)) for i in range(60)]
     rows += [(f"src/g{i}.java", "java", wire(i, "// Code generated by x. DO NOT EDIT.\n")) for i in range(20)]
     rows += [(f"src/q{i}.java", "java", wire(i, "// Copyright 2025 Lattice Foundry.\n")) for i in range(20, 28)]
-    rows += [("v.py", "python", b"# Copyright (c) 2020 the foo-bar authors\n" + hand(61)), ("vendor/tool.py", "python", b"# Writes the generated list; this tool itself is maintained by hand.\n" + hand(62)), ("t.csv", "csv", b"1,2"), ("n.py", "python", None), ("x.py", "python", b""), ("bad.py", "python", b"\xff\xfe"), (None, None, b"a")]
+    rows += [("v.py", "python", b"# Copyright (c) 2020 the foo-bar authors\n" + hand(61)), ("vendor/tool.py", "python", b"# Writes the generated list; this tool itself is maintained by hand.\n" + hand(62)), ("t.csv", "csv", b"1,2"), ("n.py", "python", None), ("x.py", "python", b""), ("bad.py", "python", b"\xff\xfe" + hand(63).decode().encode("utf-16-le")), (None, None, b"a")]
     df = files(spark, rows)
     big = spark.createDataFrame([(999, "s", "c", "big.csv", "csv", None, 2_000_001), (998, "t", "c", "copy.py", "python", bytearray(hand(5)), 10)], FILES).withColumn("line", F.lit("x")).withColumn("reason", F.lit(1))
     got = {r.file_id: r.reason for r in not_handwritten(df.unionByName(big)).collect()}
