@@ -44,6 +44,8 @@ BUNDLE = re.compile(r"[.-](min|bundle|packed)\.(js|mjs|css)$", re.I)
 OWN = ("lattice foundry",)
 #: Names outside literals (log1p) that a file of nothing but data has at most.
 DATA_NAMES = math.log1p(14)
+#: Bodies of fewer characters show too little to be judged by their looks; the size is this feature.
+LEAST_BODY, SIZE_FEATURE = 100, 20
 
 _LITERAL = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w.])-?\d[\w.]*", re.S)
 _COMMENT = re.compile(r"/\*.*?\*/|<!--.*?-->|(?<![:\"'\w])//[^\n]*|(?m:^\s*#[^\n{]*)", re.S)
@@ -200,18 +202,18 @@ def not_handwritten(files: DataFrame, own: tuple[str, ...] = OWN, too_large: int
     Rows over ``too_large`` bytes are cases whatever they hold; other rows without content and csv
     files are none. ``reason`` is the first that holds of ``oversized``, a notice's kind, ``copied``
     (at least ``share`` of at least ``least`` shingles also occur in another service) and ``forest``
-    (score of at least ``cut``). Repeated rows come out repeatedly.
+    (score of at least ``cut``, bodies of at least 100 characters). Repeated rows come out repeatedly.
     """
     facts = materialize(file_facts(files, own), "p6-facts")
     model = fit_forest(facts)
     p = vector_to_array("probability")[1] if model is not None else F.lit(0.0)
-    base = facts.select("file_id", "service", "language", "label", F.size("shingles").alias("n"), array_to_vector("x").alias("v"))
-    scored = (model.transform(base) if model is not None else base).select("file_id", "service", "language", "label", "n", F.round(p, 6).alias("score"))
+    base = facts.select("file_id", "service", "language", "label", F.size("shingles").alias("n"), (F.element_at("x", SIZE_FEATURE + 1) >= math.log1p(LEAST_BODY)).alias("judged"), array_to_vector("x").alias("v"))
+    scored = (model.transform(base) if model is not None else base).select("file_id", "service", "language", "label", "n", "judged", F.round(p, 6).alias("score"))
     each = facts.select("file_id", "service", F.explode("shingles").alias("h"))
     spread = each.groupBy("h").agg(F.min("service").alias("a"), F.max("service").alias("b")).where("a < b").select("h")
     copied = each.join(spread, "h", "left_semi").groupBy("file_id", "service").agg(F.count("*").alias("shared"))
     out = scored.join(copied, ["file_id", "service"], "left")
-    reason = F.when(F.col("label") != "record", F.col("label")).when((F.col("n") >= least) & (F.col("shared") >= share * F.col("n")), "copied").when(F.col("label").isNull() & (F.col("score") >= cut), "forest")
+    reason = F.when(F.col("label") != "record", F.col("label")).when((F.col("n") >= least) & (F.col("shared") >= share * F.col("n")), "copied").when(F.col("label").isNull() & F.col("judged") & (F.col("score") >= cut), "forest")
     small = out.select("file_id", "service", "language", reason.alias("reason"), "score").where("reason is not null")
     big = files.where(F.col("size_bytes") > too_large).select(F.col("file_id").cast("bigint").alias("file_id"), F.coalesce("service", F.lit("")).alias("service"), "language", F.lit("oversized").alias("reason"), F.lit(1.0).alias("score"))
     return big.unionByName(small.join(big.select("file_id"), "file_id", "left_anti"))
