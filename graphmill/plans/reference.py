@@ -619,7 +619,8 @@ def x4(s, d):
     return e.select("delivery_id", (F.abs(F.unix_micros(F.col("arrived_at").cast("timestamp")) - F.unix_micros(instant(F.col("received_at")))) <= 300_000_000).alias("fresh"))
 
 
-_PID = "CASE WHEN lower(trim(provider_event_id)) NOT IN ('', 'null', 'undefined') THEN lower(trim(provider_event_id)) END"
+_CLEAN = "lower(regexp_replace(provider_event_id, '^\\s+|\\s+$', '', 'g'))"
+_PID = f"CASE WHEN {_CLEAN} NOT IN ('', 'null', 'undefined') THEN {_CLEAN} END"
 
 
 @query("ref_x5_ack_matrix", f"WITH {_BODY} SELECT event_source, CASE WHEN p IS NULL OR ({_PID}) IS NULL THEN CASE WHEN event_source = 'slack' THEN 'retry' ELSE 'dead_letter' END ELSE 'acked' END AS outcome, count(*) AS messages FROM body GROUP BY 1, 2")
