@@ -305,6 +305,6 @@ def grammar_functions(text: str, name: str) -> list[Function]:
                     end = t.close.get(end, end) + 1
                 last = t.close.get(end, min(end, len(t.text) - 1))
                 sig = " ".join(y for y in t.text[at:end] if not y.startswith(("//", "/*")))
-                out.append(Function(fn, owner[1], x, t.line[at], t.line[last], sig[:2000]))
+                out.append(Function(fn, owner[1], x, t.line[at], t.line[last], sig))
             start = i + 1 if i == start else start
     return out
