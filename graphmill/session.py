@@ -41,7 +41,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable (never local) checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    root = shared_dir(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
 
 
