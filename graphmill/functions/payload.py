@@ -82,7 +82,7 @@ def rich_text(document: Column) -> Column:
 
 
 def run_id(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, "aetherion_agent_run_id=([a-f0-9-]{36})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, "agent_run_id=([a-f0-9-]{36})", 1), F.lit(""))
 
 
 def fence_stripped(raw: Column) -> Column:
