@@ -78,6 +78,49 @@ class RoutingTree:
         return rows, node - (2**self.depth - 1)
 
 
+class Cells:
+    """Centres of cosine k-means over a sample; a vector belongs to the cells of its nearest centres."""
+
+    def __init__(self, sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7):
+        f = sample.astype(np.float32)
+        c = f[np.random.default_rng(seed).choice(len(f), cells, replace=False)]
+        for _ in range(rounds):
+            own = np.concatenate([np.argmax(f[i : i + 4096] @ c.T, axis=1) for i in range(0, len(f), 4096)])
+            order = np.argsort(own, kind="stable")
+            there, start = np.unique(own[order], return_index=True)
+            c[there] = np.add.reduceat(f[order], start, axis=0)
+            c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-9)
+        self.centres = c
+
+    def route(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for the ``probes`` nearest centres."""
+        f, probes = x.astype(np.float32), min(probes, len(self.centres))
+        near = [np.argpartition(-(f[i : i + 1024] @ self.centres.T), probes - 1, axis=1)[:, :probes] for i in range(0, len(f), 1024)]
+        return np.repeat(np.arange(len(x)), probes), np.concatenate(near).ravel()
+
+
+def search_all(x: np.ndarray, k: int, block: int = 512, width: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``search_shard`` without a floor, by comparing all with all; exact."""
+    n, k = len(x), min(k, len(x) - 1)
+    if k < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    f, out = x.astype(np.float32), []
+    for i in range(0, n, block):
+        s = f[i : i + block] @ f.T
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = -9
+        # The k-th largest of group maxima bounds the k-th largest of all from below.
+        groups = s[:, : n // width * width].reshape(len(s), -1, width).max(2) if n >= 4 * k * width else s
+        bound = -np.partition(-groups, k - 1, axis=1)[:, k - 1]
+        r, b = np.nonzero(s >= bound[:, None] - 3e-6)  # single precision, and equal after rounding
+        cos = np.round(np.einsum("ij,ij->i", x[i + r], x[b]), 6)
+        order = np.lexsort((b, -cos, r))
+        r, b, cos = r[order], b[order], cos[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((i + r[keep], b[keep], cos[keep]))
+    a, b, cos = (np.concatenate(c) for c in zip(*out))
+    return a, b, cos
+
+
 def _best(sims: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of each row's k largest rounded values of at least ``floor``, ties by id (columns come in id order)."""
     hit = sims >= floor
@@ -135,29 +178,37 @@ def search_shard(x: np.ndarray, k: int, min_sim: float | None, relax: float, tre
     return a[rank < k], b[rank < k], cos[rank < k]
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_sim: float | None = None, dims: int = 64, relax: float = 0.05, trees: int = 3, shard_rows: int = 64_000, sample_rows: int = 20_000) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_sim: float | None = None, dims: int = 64, relax: float = 0.05, trees: int = 3, shard_rows: int = 64_000, sample_rows: int = 20_000, cell_rows: int = 2_000, probes: int = 4) -> DataFrame:
     """``(id, neighbor, cosine, rank)``: the k most similar others of every usable vector.
 
     Cosines are rounded to 6 decimals, equal ones go to the smaller id. ``min_sim`` drops weaker
     neighbours and, as the radius of the search, lets the triangle inequality prune. Vectors that are
     null, of another length, all zero or not finite take no part. Repeated ids with one vector count
     once; an id is never its own neighbour. Empty input gives no rows. ``sample_rows`` bounds the rows
-    on which the routing tree is fitted; every row is indexed.
+    on which the routing tree is fitted; every row is indexed. Without ``min_sim`` the triangle inequality
+    prunes next to nothing: vectors then go to their ``probes`` nearest of cells of about ``cell_rows``,
+    and each cell compares all with all. The fit needs eight sampled rows a cell, or ``sample_rows``.
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null").where(F.size("v") == dims)
     hashed = src.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(17))})
     n = src.count()
-    depth = max(0, math.ceil(math.log2(max(1, n / shard_rows))))
+    depth = max(0, math.ceil(math.log2(max(1, n / shard_rows)))) if min_sim is not None else 0
+    cells = math.ceil(n / cell_rows) if min_sim is None else 0
     tree = None
-    if depth:
+    if depth or cells > probes:
         # An even sample by hash; its size is bounded by the parameter.
+        sample_rows = max(sample_rows, 8 * cells)
         rate = min(1.0, sample_rows / n)
         rows = hashed.where(F.pmod("h1", F.lit(1 << 20)) < F.lit(int(rate * (1 << 20)) + 1)).select("v").limit(2 * sample_rows).toArrow()
         _, x = unit_rows(rows.column("v"), dims)
-        tree = RoutingTree(np.unique(x, axis=0), depth) if len(x) > 2**depth else None
+        x = np.unique(x, axis=0)
+        if min_sim is None:
+            tree = Cells(x, cells) if len(x) > cells else None
+        else:
+            tree = RoutingTree(x, depth) if len(x) > 2**depth else None
     radius = FULL_CIRCLE if min_sim is None else math.sqrt(max(0.0, 2 - 2 * min_sim))
-    margin = relax * radius
+    reach = probes if min_sim is None else relax * radius
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,7 +222,7 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_si
             first[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
             keep = order[first]
             x, ids, h1, h2 = x[keep], ids[keep], h1[keep], h2[keep]
-            row, shard = tree.route(x, margin) if tree is not None else (np.arange(len(x)), np.zeros(len(x), np.int64))
+            row, shard = tree.route(x, reach) if tree is not None else (np.arange(len(x)), np.zeros(len(x), np.int64))
             f = np.ascontiguousarray(x[row].astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(h1[row]), pa.array(h2[row]), pa.array(ids[row]), pa.Array.from_buffers(pa.binary(4 * dims), len(f), [None, pa.py_buffer(f)]).cast(pa.binary())], names=["shard", "h1", "h2", "id", "x"])
 
@@ -186,7 +237,7 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_si
         ids, h1, h2 = ids[keep], h1[keep], h2[keep]
         x = np.frombuffer(b"".join(t.column("x").take(pa.array(keep)).to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
         x /= np.sqrt((x * x).sum(1, keepdims=True))
-        a, b, cos = search_shard(x, k, min_sim, relax, trees)
+        a, b, cos = search_all(x, k) if min_sim is None else search_shard(x, k, min_sim, relax, trees)
         return pa.table({"h1": h1[a], "h2": h2[a], "g1": h1[b], "g2": h2[b], "cos": cos})
 
     routed = hashed.select("id", "v", "h1", "h2").mapInArrow(assign, "shard int, h1 bigint, h2 bigint, id bigint, x binary")

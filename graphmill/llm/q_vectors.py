@@ -15,7 +15,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = similar_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", k=5, min_sim=0.85)
+    near = similar_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", k=5)
     return near.select(F.col("id").alias("chunk_id"), F.col("neighbor").alias("neighbor_id"), "cosine", "rank")
 
 

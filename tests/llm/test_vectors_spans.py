@@ -175,3 +175,23 @@ def test_span_parameters(spark, k, n):
 def test_queries_need_no_other_columns(spark):
     df = spark.createDataFrame([(1, "x" * 300)], "doc_id bigint, text string").withColumn("h", F.lit(1))
     assert documents_with_shared_spans(df).count() == 0
+
+
+def test_neighbors_have_no_floor(spark):
+    from graphmill.llm.q_vectors import p2_neighbors
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.chunk_id, r.embedding) for r in spark.read.parquet(f"{sf}/chunks.parquet").collect()]
+    ok, _ = unit_rows(pa.array([v for _, v in rows]), 64)
+    rows = [rows[i] for i in ok]
+    got = {(r.chunk_id, r.neighbor_id) for r in p2_neighbors(spark, sf).collect()}
+    assert got == {(a, b) for a, n in brute_neighbors(rows, 5, -2).items() for b in n}
+
+
+def test_cells_recall_without_a_floor(spark):
+    rows = clustered(3000, seed=2)
+    df = spark.createDataFrame(rows, "chunk_id bigint, embedding array<double>")
+    got = similar_vectors(df, "chunk_id", "embedding", k=5, cell_rows=300)
+    have = {(r.id, r.neighbor) for r in got.collect()}
+    want = {(a, b) for a, n in brute_neighbors(rows, 5, -2).items() for b in n}
+    assert len(have & want) >= 0.9 * len(want)
