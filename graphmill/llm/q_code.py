@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.llm.filesymbols import parse_grammar_symbols
 from graphmill.llm.handwritten import not_handwritten
 from graphmill.llm.sourcefiles import CHECKED, documented_functions, invalid_files
 from graphmill.session import table
@@ -47,5 +48,10 @@ def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "source_files")).groupBy("service", "language", "reason").agg(F.count("*").alias("files"))
 
 
+def p15_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and functions of the languages that ``ref_p15_symbols`` leaves to a grammar."""
+    return parse_grammar_symbols(table(spark, sf_dir, "source_files"))
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_errors": p5_errors, "p5_rates": p5_rates, "p6_found": p6_found, "p6_reasons": p6_reasons}
+    return {"ref_p15_grammar_symbols": p15_grammar, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_errors": p5_errors, "p5_rates": p5_rates, "p6_found": p6_found, "p6_reasons": p6_reasons}

@@ -1,7 +1,7 @@
 """Symbols of source files as a table function.
 
 Python files are parsed to syntax trees, BPMN files as XML, interface-definition and GraphQL files by
-small block readers. Other languages need a grammar and are reported as unsupported here.
+small block readers. Other languages need a grammar: see ``llm/filesymbols.py``.
 """
 
 from __future__ import annotations

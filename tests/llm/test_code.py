@@ -198,3 +198,23 @@ def test_secret_rows(spark, model):
 def test_names():
     assert [names_secret(n) for n in ("dbPassword", "api_key", "key", "keyed_node", "token_pattern", "password_hash", "public_key", "AUTH_TOKEN", "")] == [2, 2, 1, 0, -1, -1, -1, 2, 0]
     assert empty_of_secret("xxxxxxxx") and empty_of_secret("${x}") and not empty_of_secret("Deep_window1028#") and candidates("") == []
+
+
+def test_symbols_of_grammar_languages(spark):
+    from graphmill.llm.q_code import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries()["ref_p15_grammar_symbols"](spark, sf).select("file_id", "kind", "qualified_name", "line_start", "line_end", "is_method", "parent_class").distinct()
+    files = spark.read.parquet(f"{sf}/source_files.parquet").select("file_id", "service", "commit_sha", "file_path")
+    want = spark.read.parquet(f"{sf}/parsed_symbols.parquet").where("language in ('java', 'typescript', 'javascript', 'kotlin')").join(files, ["service", "commit_sha", "file_path"])
+    want = want.select(*got.columns).distinct()
+    assert want.count() > 20 and want.exceptAll(got).count() == 0
+
+
+def test_symbols_without_documentation_or_body():
+    from graphmill.llm.filesymbols import grammar_symbols
+
+    names = lambda text, lang: [(s[0], s[2].split("::")[1]) for s in grammar_symbols("f", text, lang)]
+    assert names("class A { int n = g(3); A() {} void m() { if (n > 0) { h(n); } } }\ninterface B { int f(int x); }\nenum E { X(1), Y(2); E(int v) {} }", "java") == [("class", "A"), ("function", "A.A"), ("function", "A.m"), ("class", "B"), ("function", "B.f"), ("class", "E"), ("function", "E.E")]
+    assert names("data class P(val a: Int)\nobject O { fun f() = 1 }\nfun g(): Int = h(2)\n", "kotlin") == [("class", "P"), ("class", "O"), ("function", "O.f"), ("function", "g")]
+    assert names("export class A {\n  m(x: number): void {\n    for (const y of z) { f(y) }\n  }\n}\nconst g = (a: string) => a\nf(3)\n", "typescript") == [("class", "A"), ("function", "A.m"), ("function", "g")]
