@@ -1,14 +1,14 @@
 """Generated, minified, vendored and bulk-data files among hand-written source.
 
-* Notices in the leading comments label files: generator notices, other owners' copyright lines and
-  upstream references. File names of shipped bundles and files of nearly nothing but literals are
-  further weak labels. The leading comments are cut off before any feature is computed.
+* Notices in the comments before and after all code label files: generator notices, other owners'
+  copyright lines and upstream references. File names of shipped bundles and bodies of nearly nothing
+  but literals are further weak labels. Those comments are cut off before any feature is computed.
 * A random forest over compression ratio, token entropy, identifier lengths, comment density and
-  similar features of the body finds files like the labelled ones that carry no notice. As unlabelled
-  files of that kind sit among its negatives, it is fitted twice: those the first fit doubts are left
-  out of the second. A single small JSON document under a code name is a record, not bulk data.
-* Code taken over from other projects looks hand-written, so it is found by its copies: the share of a
-  file's four-line shingles that also occur in another service.
+  similar features of the body decides, for labelled and unlabelled files alike. A label alone decides
+  only where the forest disagrees with a notice.
+* Code taken over from other projects looks hand-written, so no forest can find it: it is found by
+  notices of other owners and, without one, by the share of a file's four-line shingles that also
+  stand in files with such a notice. The file with the notice is the owner's copy, so the direction is known.
 """
 
 from __future__ import annotations
@@ -41,18 +41,18 @@ BY_HAND = re.compile(r"(maintained|written|edited|kept) by hand", re.I)
 FOREIGN = re.compile(r"\bthe [\w.-]+ (authors|contributors|developers|project)\b|part of the [\w.-]+ (project|library|package)|see LICENSE-|\bupstream:\s*\S+|^\W*[\w.-]+ v\d+\.\d+(\.\d+)? - |^\W*@(license|preserve)\b|vendored from|copied from https?:|taken from https?:", re.I | re.M)
 COPYRIGHT = re.compile(r"copyright\b.*", re.I)
 BUNDLE = re.compile(r"[.-](min|bundle|packed)\.(js|mjs|css)$", re.I)
-OWN = ("lattice foundry",)
 #: Names outside literals (log1p) that a file of nothing but data has at most.
 DATA_NAMES = math.log1p(14)
-#: Bodies of fewer characters show too little to be judged by their looks; the size is this feature.
-LEAST_BODY, SIZE_FEATURE = 100, 20
+#: Places of two features.
+LITERAL_SHARE, NAMES_OUTSIDE = 12, 22
 
-_LITERAL = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w.])-?\d[\w.]*", re.S)
-_COMMENT = re.compile(r"/\*.*?\*/|<!--.*?-->|(?<![:\"'\w])//[^\n]*|(?m:^\s*#[^\n{]*)", re.S)
-_TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\w\s]")
-_NAMES = re.compile(r"[A-Za-z_$][\w$]*")
-_WORDLIKE = re.compile(r"\w+")
-_FLOW = set("if else elif for while return when switch case try catch except raise throw await yield and or not in of with do".split())
+_PIECE = re.compile(
+    r"[A-Za-z_$][\w$]*+|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|(?<![\w.])-?\d[\w.]*+"
+    r"|/\*.*?\*/|<!--.*?-->|(?<![:\"'\w])//[^\n]*|(?m:^[ \t]*#[^\n{]*)|[^\w\s]",
+    re.S,
+)
+_FLOW = frozenset("if else elif for while return when switch case try catch except raise throw await yield and or not in of with do".split())
+_SKIPPED = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or b == 95)
 
 
 def readable(content: bytes) -> str:
@@ -63,17 +63,32 @@ def readable(content: bytes) -> str:
         return content.decode("utf-16" if content[:2] in (b"\xff\xfe", b"\xfe\xff") else "cp1252", "replace")
 
 
-def split_head(text: str) -> tuple[str, str]:
-    """(leading comments, body)."""
+_LEAD = re.compile(r"﻿?\s*(?:/\*.*?\*/|<!--.*?-->|//[^\n]*|#[^\n{]*(?=\n|\Z)|<\?xml[^>]*\?>|@charset[^\n]*|<!doctype[^>]*>|['\"]use strict['\"];?)", re.S | re.I)
+
+
+def split_notes(text: str) -> tuple[str, str]:
+    """(comments before and after all code, body)."""
     at, n = 0, len(text)
-    lead = re.compile(r"﻿?\s*(?:/\*.*?\*/|<!--.*?-->|//[^\n]*|#[^\n{]*(?=\n|\Z)|<\?xml[^>]*\?>|@charset[^\n]*|<!doctype[^>]*>|['\"]use strict['\"];?)", re.S | re.I)
-    while at < n and (m := lead.match(text, at)):
+    while at < n and (m := _LEAD.match(text, at)):
         at = m.end()
-    return text[:at], text[at:]
+    end = max(at, len(text.rstrip()))
+    while end > at:
+        if text.endswith("*/", at, end):
+            start = text.rfind("/*", at, end)
+        elif text.endswith("-->", at, end):
+            start = text.rfind("<!--", at, end)
+        else:
+            start = max(at, text.rfind("\n", at, end) + 1)
+            if "{" in text[start:end] or not text[start:end].lstrip().startswith(("//", "#")):
+                break
+        if start < at or text[max(at, text.rfind("\n", at, start) + 1) : start].strip():
+            break
+        end = at + len(text[at:start].rstrip())
+    return text[:at] + "\n" + text[end:].lstrip(), text[at:end]
 
 
-def notice(head: str, own: tuple[str, ...] = OWN) -> str | None:
-    """What the leading comments say: ``generated``, ``vendored`` or nothing."""
+def notice(head: str, own: tuple[str, ...]) -> str | None:
+    """What the comments around the code say: ``generated``, ``vendored`` or nothing."""
     if GENERATED.search(head) and not BY_HAND.search(head):
         return "generated"
     for line in COPYRIGHT.findall(head):
@@ -85,59 +100,93 @@ def notice(head: str, own: tuple[str, ...] = OWN) -> str | None:
 
 
 def features(body: str) -> list[float]:
-    """Numbers that describe a body's looks; sums run over distinct tokens and lines, not over all."""
+    """Numbers that describe a body's looks.
+
+    The body is cut once into names, literals, comments and marks; all sums run over the distinct ones.
+    Shapes are the lines with everything but their marks left out.
+    """
     n = max(1, len(body))
     raw = body.encode("utf-8", "surrogatepass")
-    count = Counter(_TOKEN.findall(body))
+    count = Counter(_PIECE.findall(body))
     total = max(1, sum(count.values()))
+    names = letters = short = numbered = distinct = flow = nums = literals = literal = longest = comments = comment = 0
+    for t, c in count.items():
+        f = t[0]
+        if f.isalpha() or f in "_$":
+            names += c
+            k = len(t)
+            letters += k * c
+            distinct += 1
+            if k < 3:
+                short += c
+            if t[-1].isdigit():
+                numbered += c
+            if t in _FLOW:
+                flow += c
+        elif len(t) == 1 and not f.isdigit():
+            continue
+        elif f in "\"'`":
+            literals += c
+            literal += len(t) * c
+            longest = max(longest, len(t))
+        elif f.isdigit() or f == "-":
+            nums += c
+            literal += len(t) * c
+            longest = max(longest, len(t))
+        else:
+            comments += c
+            comment += len(t) * c
     freq = np.fromiter(count.values(), float, len(count)) / total
-    entropy = float(-(freq * np.log2(freq)).sum()) if count else 0.0
-    ids = {t: c for t, c in count.items() if t[0].isalpha() or t[0] in "_$"}
-    k = max(1, sum(ids.values()))
-    nums = sum(c for t, c in count.items() if t[0].isdigit())
-    sizes = np.array([len(x) for x in body.split("\n")], float)
-    shapes = Counter(y for y in (x.strip() for x in _WORDLIKE.sub("a", body).split("\n")) if y)
+    entropy = float(-(freq * np.log2(freq)).sum())
+    sizes = list(map(len, body.split("\n")))
+    shapes = Counter(map(bytes.strip, raw.translate(None, _SKIPPED).split(b"\n")))
+    shapes.pop(b"", None)
     filled = max(1, sum(shapes.values()))
-    literal = [len(x) for x in _LITERAL.findall(body)]
-    comment = [len(x) for x in _COMMENT.findall(body)]
-    outside = Counter(_NAMES.findall(_LITERAL.sub(" ", body)))
-    names = sum(outside.values())
-    compact = "".join(body.split())
-    dense = max(1, len(compact) - compact.count(",") - compact.count(";"))
+    compact = len("".join(body.split()))
+    dense = max(1, compact - body.count(",") - body.count(";"))
+    k = max(1, names)
     return [
-        len(zlib.compress(raw, 6)) / max(1, len(raw)),
+        len(zlib.compress(raw, 1)) / max(1, len(raw)),
         entropy,
         entropy / math.log2(total + 1),
-        sum(len(t) * c for t, c in ids.items()) / k,
-        sum(c for t, c in ids.items() if len(t) <= 2) / k,
-        sum(c for t, c in ids.items() if t[-1].isdigit()) / k,
-        len(ids) / k,
-        sum(comment) / n,
-        len(comment) / filled,
-        math.log1p(float(sizes.mean())),
-        math.log1p(float(sizes.max())),
-        float(sizes[sizes > 200].sum()) / n,
-        sum(literal) / dense,
-        max(literal, default=0) / n,
-        nums / total,
+        letters / k,
+        short / k,
+        numbered / k,
+        distinct / k,
+        comment / n,
+        comments / filled,
+        math.log1p(len(body) / len(sizes)),
+        math.log1p(max(sizes)),
+        sum(s for s in sizes if s > 200) / n,
+        literal / dense,
+        longest / n,
+        (nums + literals) / total,
         len(shapes) / filled,
         max(shapes.values(), default=0) / filled,
-        (len(body) - len(compact)) / n,
-        sum(ids.get(t, 0) for t in _FLOW) / k,
-        (total - sum(ids.values()) - nums) / total,
+        (len(body) - compact) / n,
+        flow / k,
+        (total - names - nums - literals - comments) / total,
         math.log1p(n),
         math.log1p(filled),
         math.log1p(names),
-        sum(outside.get(t, 0) for t in _FLOW) / max(1, names),
     ]
 
 
 def shingles(body: str, size: int = 4) -> list[int]:
-    """Hashes of runs of ``size`` non-trivial lines, without blanks at their ends."""
+    """Hashes of runs of ``size`` lines that hold more than three characters besides blanks at their ends.
+
+    Each line is hashed once; a run's hash is rolled from its lines' by a polynomial modulo 2^64.
+    """
     import xxhash
 
-    lines = [x for x in (y.strip() for y in body.splitlines()) if len(x) > 3]
-    return sorted({xxhash.xxh3_64_intdigest("\n".join(lines[i : i + size])) - (1 << 63) for i in range(len(lines) - size + 1)})
+    lines = [xxhash.xxh3_64_intdigest(x) for x in map(str.strip, body.split("\n")) if len(x) > 3]
+    if len(lines) < size:
+        return []
+    h = np.array(lines, np.uint64)
+    run = np.zeros(len(h) - size + 1, np.uint64)
+    for i in range(size):
+        run = run * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(run)]
+    return np.unique(run.view(np.int64)).tolist()
 
 
 def _is_json(body: str) -> bool:
@@ -148,10 +197,12 @@ def _is_json(body: str) -> bool:
     return True
 
 
-def file_facts(files: DataFrame, own: tuple[str, ...] = OWN) -> DataFrame:
+def file_facts(files: DataFrame, own: tuple[str, ...], record_chars: int = 4_000) -> DataFrame:
     """``(file_id, service, language, label, x, shingles)`` of files with content, csv left out.
 
-    Files in other encodings than UTF-8 are read as what they seem to be; syntax does not matter.
+    Files in other encodings than UTF-8 are read as what they seem to be; syntax does not matter. Labels
+    only teach the forest: ``record`` (a JSON document of under ``record_chars`` characters) is a known
+    negative, ``data`` a body of nearly nothing but literals.
     """
     src = files.where(F.col("content").isNotNull() & (F.coalesce(F.lower("language"), F.lit("")) != "csv")).select(F.col("file_id").cast("bigint").alias("file_id"), F.coalesce("service", F.lit("")).alias("service"), "language", F.coalesce("file_path", F.lit("")).alias("file_path"), "content")
 
@@ -159,15 +210,15 @@ def file_facts(files: DataFrame, own: tuple[str, ...] = OWN) -> DataFrame:
         for b in batches:
             labels, xs, shs = [], [], []
             for path, content in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                head, body = split_head(readable(content).replace("\r\n", "\n"))
+                notes, body = split_notes(readable(content).replace("\r\n", "\n"))
                 x = features(body)
-                label = notice(head, own)
+                label = notice(notes, own)
                 if label is None and BUNDLE.search(path):
                     label = "minified"
-                if label is None and x[12] >= 0.8 and x[-2] < DATA_NAMES and len(body) > 600:
+                if label is None and body[:1] in ("{", "[") and len(body) < record_chars and _is_json(body):
+                    label = "record"
+                if label is None and x[LITERAL_SHARE] >= 0.8 and x[NAMES_OUTSIDE] < DATA_NAMES:
                     label = "data"
-                if body[:1] in "{[" and len(body) < 4000 and _is_json(body):
-                    label = label if label not in (None, "data") else "record"
                 labels.append(label)
                 xs.append(x)
                 shs.append(shingles(body))
@@ -176,44 +227,56 @@ def file_facts(files: DataFrame, own: tuple[str, ...] = OWN) -> DataFrame:
     return src.mapInArrow(run, "file_id bigint, service string, language string, label string, x array<double>, shingles array<bigint>")
 
 
-def fit_forest(facts: DataFrame, max_rows: int = 20_000, trees: int = 40, depth: int = 9, doubt: float = 0.1):
+def fit_forest(facts: DataFrame, max_rows: int = 20_000, trees: int = 40, depth: int = 9, doubt: float = 0.2):
     """Forest for "like the labelled files", on at most about ``max_rows`` rows in even hash order.
 
-    Labels of taken-over code say nothing about its looks, so those rows take no part. Null if there
-    are no labelled or no unlabelled rows.
+    Files of the same kind without a notice are among the unlabelled rows. So that no forest learns them
+    as hand-written, two smaller ones are fitted on one half of the unlabelled rows each, and rows that
+    the other half's forest scores ``doubt`` or more stay out of the final fit. Labels of taken-over
+    code say nothing about its looks, so those rows take no part. Null without labelled or unlabelled rows.
     """
-    rows = facts.where("label is null or label <> 'vendored'").select("file_id", (F.col("label").isNotNull() & (F.coalesce("label", F.lit("")) != "record")).cast("double").alias("y"), F.coalesce(F.col("label") == "record", F.lit(False)).alias("known"), array_to_vector("x").alias("v"))
+    rows = facts.where("label is null or label <> 'vendored'").select((F.col("label").isNotNull() & (F.coalesce("label", F.lit("")) != "record")).cast("double").alias("y"), F.coalesce(F.col("label") == "record", F.lit(False)).alias("known"), F.pmod(F.xxhash64("file_id", F.lit("half")), F.lit(2)).alias("half"), "file_id", array_to_vector("x").alias("v"))
     n = facts.count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("file_id"), F.lit(1 << 20)) < F.lit(int(max_rows / n * (1 << 20))))
     count = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     if not count.get(0.0) or not count.get(1.0):
         return None
-    rows = rows.withColumn("w", F.when(F.col("y") == 1, F.lit(max(1.0, min(5.0, count[0.0] / count[1.0] / 2)))).otherwise(1.0))
-    forest = RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, seed=5, minInstancesPerNode=2)
-    first = forest.fit(rows)
-    sure = first.transform(rows).where((F.col("y") == 1) | F.col("known") | (vector_to_array("probability")[1] < doubt)).select("file_id", "y", "v", "w")
-    return forest.fit(sure)
+    rows = rows.withColumn("w", F.when(F.col("y") == 1, F.lit(max(1.0, min(5.0, count[0.0] / count[1.0] / 2)))).otherwise(1.0)).persist()
+    grow = lambda d, k: RandomForestClassifier(featuresCol="v", labelCol="y", weightCol="w", numTrees=k, maxDepth=depth, seed=5, minInstancesPerNode=2).fit(d)
+    p = vector_to_array("probability")[1]
+    sure = rows.where((F.col("y") == 1) | F.col("known"))
+    for half in (0, 1):
+        rest = rows.where((F.col("half") != half) & (F.col("y") == 0) & ~F.col("known"))
+        judged = grow(rows.where((F.col("y") == 1) | F.col("known") | (F.col("half") == half)), max(1, trees // 2)).transform(rest)
+        sure = sure.unionByName(judged.where(p < doubt).select(rows.columns))
+    model = grow(sure, trees)
+    rows.unpersist()
+    return model
 
 
-def not_handwritten(files: DataFrame, own: tuple[str, ...] = OWN, too_large: int = 2_000_000, share: float = 0.5, least: int = 6, cut: float = 0.2) -> DataFrame:
+def not_handwritten(files: DataFrame, own: tuple[str, ...], too_large: int = 2_000_000, share: float = 0.5, cut: float = 0.5) -> DataFrame:
     """``(file_id, service, language, reason, score)`` of files that were not written by hand.
 
-    Rows over ``too_large`` bytes are cases whatever they hold; other rows without content and csv
-    files are none. ``reason`` is the first that holds of ``oversized``, a notice's kind, ``copied``
-    (at least ``share`` of at least ``least`` shingles also occur in another service) and ``forest``
-    (score of at least ``cut``, bodies of at least 100 characters). Repeated rows come out repeatedly.
+    ``own`` are the owner's names in lower case, as copyright lines give them. Rows over ``too_large``
+    bytes are cases whatever they hold; other rows without content and csv files are none. ``reason`` is
+    the first that holds of ``oversized``, ``vendored`` (a notice of another owner), ``forest`` (score of
+    at least ``cut``), ``copied`` (at least ``share`` of the file's shingles also occur in files with such
+    a notice) and the label of a file that the forest does not see as one. Repeated rows come out
+    repeatedly, an empty table gives no row.
     """
     facts = materialize(file_facts(files, own), "p6-facts")
     model = fit_forest(facts)
-    p = vector_to_array("probability")[1] if model is not None else F.lit(0.0)
-    base = facts.select("file_id", "service", "language", "label", F.size("shingles").alias("n"), (F.element_at("x", SIZE_FEATURE + 1) >= math.log1p(LEAST_BODY)).alias("judged"), array_to_vector("x").alias("v"))
-    scored = (model.transform(base) if model is not None else base).select("file_id", "service", "language", "label", "n", "judged", F.round(p, 6).alias("score"))
-    each = facts.select("file_id", "service", F.explode("shingles").alias("h"))
-    spread = each.groupBy("h").agg(F.min("service").alias("a"), F.max("service").alias("b")).where("a < b").select("h")
-    copied = each.join(spread, "h", "left_semi").groupBy("file_id", "service").agg(F.count("*").alias("shared"))
-    out = scored.join(copied, ["file_id", "service"], "left")
-    reason = F.when(F.col("label") != "record", F.col("label")).when((F.col("n") >= least) & (F.col("shared") >= share * F.col("n")), "copied").when(F.col("label").isNull() & F.col("judged") & (F.col("score") >= cut), "forest")
-    small = out.select("file_id", "service", "language", reason.alias("reason"), "score").where("reason is not null")
+    base = facts.select("file_id", "service", "language", "label", "shingles", array_to_vector("x").alias("v"))
+    score = F.round(vector_to_array("probability")[1], 6) if model is not None else F.lit(0.0)
+    scored = (model.transform(base) if model is not None else base).select("file_id", "service", "language", "label", "shingles", score.alias("score"))
+    case = F.when(F.col("label") == "vendored", "vendored").when(F.col("score") >= cut, "forest").when(F.col("label") != "record", F.col("label"))
+    judged = scored.select("file_id", "service", "language", case.alias("reason"), "score")
+    foreign = facts.where("label = 'vendored'").select(F.explode("shingles").alias("h"), F.lit(1.0).alias("foreign")).distinct()
+    rest = scored.where(case.isNull()).select("file_id", F.explode("shingles").alias("h"))
+    # A mean, so that repeated rows of one file count as one.
+    copied = rest.join(foreign, "h", "left").groupBy("file_id").agg(F.avg(F.coalesce("foreign", F.lit(0.0))).alias("part")).where(F.col("part") >= share).select("file_id")
+    taken = judged.where("reason is null").join(copied, "file_id", "left_semi").withColumn("reason", F.lit("copied"))
+    small = judged.where("reason is not null").unionByName(taken)
     big = files.where(F.col("size_bytes") > too_large).select(F.col("file_id").cast("bigint").alias("file_id"), F.coalesce("service", F.lit("")).alias("service"), "language", F.lit("oversized").alias("reason"), F.lit(1.0).alias("score"))
     return big.unionByName(small.join(big.select("file_id"), "file_id", "left_anti"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.docpairs import description, grammar_functions, python_functions, substantive
 from graphmill.llm.grammar import language
-from graphmill.llm.handwritten import features, file_facts, not_handwritten, notice, shingles, split_head
+from graphmill.llm.handwritten import features, file_facts, not_handwritten, notice, shingles, split_notes
 from graphmill.llm.secrets import candidates, empty_of_secret, find_secrets, fit, judge, names_secret, redact, redact_text
 from graphmill.llm.sourcefiles import check_file, documented_functions, invalid_files
 
@@ -124,6 +124,9 @@ def test_documented_functions_query(spark):
     assert next(r for r in got if r.file_id == 3).code == "void f() {}"
 
 
+OWN = ("lattice foundry",)
+
+
 def hand(i):
     return f"# helper {i}\nimport os\n\n\ndef load_{'abcdefghij'[i % 10]}(path, limit):\n    \"\"\"Reads rows up to a limit.\"\"\"\n    rows = []\n    for line in open(path):\n        if len(rows) >= limit or not line.strip():\n            break  # enough {i * 37 % 101}\n        rows.append(line.split(',')[{i}])\n    return rows\n\n\nclass Keeper{i}:\n    def __init__(self, size={i * 13}):\n        self.size = size\n        self.items_{i} = dict()\n\n    def put(self, key, value):\n        while len(self.items_{i}) > self.size:\n            self.items_{i}.popitem()\n        self.items_{i}[key] = value\n".encode()
 
@@ -138,20 +141,24 @@ def test_not_handwritten(spark):
     rows += [(f"src/q{i}.java", "java", wire(i, "// Copyright 2025 Lattice Foundry.\n")) for i in range(20, 28)]
     rows += [("v.py", "python", b"# Copyright (c) 2020 the foo-bar authors\n" + hand(61)), ("vendor/tool.py", "python", b"# Writes the generated list; this tool itself is maintained by hand.\n" + hand(62)), ("t.csv", "csv", b"1,2"), ("n.py", "python", None), ("x.py", "python", b""), ("bad.py", "python", b"\xff\xfe" + hand(63).decode().encode("utf-16-le")), (None, None, b"a")]
     df = files(spark, rows)
-    big = spark.createDataFrame([(999, "s", "c", "big.csv", "csv", None, 2_000_001), (998, "t", "c", "copy.py", "python", bytearray(hand(5)), 10)], FILES).withColumn("line", F.lit("x")).withColumn("reason", F.lit(1))
-    got = {r.file_id: r.reason for r in not_handwritten(df.unionByName(big)).collect()}
-    want = {**{i: "generated" for i in range(60, 80)}, **{i: "forest" for i in range(80, 88)}, 88: "vendored", 999: "oversized", 998: "copied", 5: "copied"}
+    big = spark.createDataFrame([(999, "s", "c", "big.csv", "csv", None, 2_000_001), (998, "t", "c", "copy.py", "python", bytearray(hand(61)), 10)], FILES).withColumn("line", F.lit("x")).withColumn("reason", F.lit(1))
+    got = {r.file_id: r.reason for r in not_handwritten(df.unionByName(big), OWN).collect()}
+    want = {**{i: "forest" for i in range(60, 88)}, 88: "vendored", 999: "oversized", 998: "copied"}
     assert got == want
-    assert not_handwritten(df.limit(0)).count() == 0
-    assert file_facts(df).where("language = 'csv'").count() == 0
+    assert not_handwritten(df.limit(0), OWN).count() == 0
+    assert file_facts(df, OWN).where("language = 'csv'").count() == 0
 
 
 def test_notices_and_heads():
-    assert notice("/* Diese Datei wurde von x erzeugt und darf nicht geändert werden. */") == "generated"
-    assert notice("// Copyright 2025 Lattice Foundry. All rights reserved.") is None
-    assert notice("// Copyright 2019 Someone Else") == "vendored"
-    assert notice("") is None
-    assert split_head('# a\n\n# b\nbanner = "Generated by x"')[1].strip().startswith("banner")
+    assert notice("/* Diese Datei wurde von x erzeugt und darf nicht geändert werden. */", OWN) == "generated"
+    assert notice("// Copyright 2025 Lattice Foundry. All rights reserved.", OWN) is None
+    assert notice("// Copyright 2019 Someone Else", OWN) == "vendored"
+    assert notice("", OWN) is None
+    assert split_notes('# a\n\n# b\nbanner = "Generated by x"')[1].strip().startswith("banner")
+    for tail in ("// @generated", "/*\n * @generated\n */", "// a\n// @generated\n", "<!-- @generated -->"):
+        notes, body = split_notes("// head\nclass A {}\n\n" + tail)
+        assert body.strip() == "class A {}" and "@generated" in notes and "head" in notes
+    assert split_notes("#x { color: red }")[1] == "#x { color: red }" and split_notes("x = 1  # @generated")[1].startswith("x") and split_notes("") == ("\n", "")
     assert len(features("")) == len(features("x = 1\n" * 5000)) and shingles("") == []
 
 
