@@ -1,13 +1,12 @@
 """The k most similar vectors of every vector: vantage-point trees per shard, pruned with relaxation.
 
-1. A vantage-point routing tree, fitted on a bounded sample, assigns every vector to a shard; near a
-   ball's border (the triangle inequality, relaxed by ``relax``) a vector also visits the other side.
-   The tree deepens with the collection, so a shard stays near ``shard_rows`` vectors at any size.
+1. Shards are k-means cells, fitted on a bounded sample; near a border a vector is also copied to the
+   next cells, at most ``probes`` in all. Their number grows with the collection, their size does not.
 2. Each shard builds several vantage-point trees over all its vectors. A node splits its vectors at
    the median distance to a vantage point. A query goes down both sides unless
-   ``|d(q, vp) - median| > relax * radius``, where ``radius`` is the largest distance still wanted.
-   ``relax=1`` is the triangle inequality itself: no neighbour within the radius can be missed. Smaller
-   factors prune more; several trees with other vantage points make up for it.
+   ``|d(q, vp) - median| > relax * radius``, where ``radius`` is its k-th best distance found so far, or
+   the floor's. ``relax=1`` is the triangle inequality itself: no neighbour in the shard can be missed.
+   Smaller factors prune more; several trees with other vantage points make up for it.
 3. Shard results of one vector are merged to its k best.
 
 Exact copies are searched once: a copy group is represented by its six (k + 1) smallest ids, found
@@ -48,36 +47,6 @@ def distance(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (x @ p)))
 
 
-class RoutingTree:
-    """Top levels of the tree: ``vp[i]``, ``cut[i]`` of heap-ordered inner nodes; leaves are shards."""
-
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        n = 2**depth - 1
-        self.depth, self.vp, self.cut = depth, np.zeros((n, sample.shape[1])), np.zeros(n)
-        own = [sample]
-        for i in range(n):
-            x = own[i]
-            if len(x) < 2:
-                x = sample
-            tries = x[rng.choice(len(x), min(8, len(x)), replace=False)]
-            d = np.sqrt(np.maximum(0, 2 - 2 * (tries @ x.T)))
-            best = int(np.argmax(d.std(1)))  # the vantage point that spreads the distances most
-            self.vp[i], self.cut[i] = tries[best], np.median(d[best])
-            side = d[best] <= self.cut[i]
-            own += [x[side], x[~side]]
-
-    def route(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, shard) for the home shard and every shard within the margin."""
-        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for _ in range(self.depth):
-            d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x[rows], self.vp[node]))) - self.cut[node]
-            inner, outer = d <= margin, d > -margin
-            inner |= ~outer  # every vector goes somewhere
-            rows, node = np.concatenate([rows[inner], rows[outer]]), np.concatenate([2 * node[inner] + 1, 2 * node[outer] + 2])
-        return rows, node - (2**self.depth - 1)
-
-
 class Cells:
     """Centres of cosine k-means over a sample; a vector belongs to the cells of its nearest centres."""
 
@@ -92,11 +61,18 @@ class Cells:
             c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-9)
         self.centres = c
 
-    def route(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) for the ``probes`` nearest centres."""
+    def route(self, x: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for up to ``probes`` nearest centres, those at most ``margin`` farther away than the nearest."""
         f, probes = x.astype(np.float32), min(probes, len(self.centres))
-        near = [np.argpartition(-(f[i : i + 1024] @ self.centres.T), probes - 1, axis=1)[:, :probes] for i in range(0, len(f), 1024)]
-        return np.repeat(np.arange(len(x)), probes), np.concatenate(near).ravel()
+        rows, cells = [], []
+        for i in range(0, len(f), 1024):
+            s = f[i : i + 1024] @ self.centres.T
+            near = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
+            d = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(s, near, 1)))
+            r, c = np.nonzero(d <= d.min(1, keepdims=True) + margin)
+            rows.append(i + r)
+            cells.append(near[r, c])
+        return np.concatenate(rows), np.concatenate(cells)
 
 
 def search_all(x: np.ndarray, k: int, block: int = 512, width: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,32 +111,45 @@ def _best(sims: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: flo
 
 
 def search_shard(x: np.ndarray, k: int, min_sim: float | None, relax: float, trees: int, leaf: int = 96, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, cosine) with positions into ``x`` (rows in id order), k best of each query at most."""
+    """(query, neighbour, cosine) with positions into ``x`` (rows in id order), k best of each query at most.
+
+    A first tree is descended without backtracking: the k-th best of a query's own leaf bounds how far
+    away its neighbours can be, and the later trees prune with that radius instead of the floor's.
+    """
     n = len(x)
     floor = -np.inf if min_sim is None else min_sim - 1e-6
-    radius = FULL_CIRCLE if min_sim is None else math.sqrt(max(0.0, 2 - 2 * min_sim))
-    margin = relax * radius
     f = x.astype(np.float32)
+    reach = np.full(n, FULL_CIRCLE if min_sim is None else math.sqrt(max(0.0, 2 - 2 * min_sim)), np.float32)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for t in range(trees):
+    for t in range(trees + 1):
         rng = np.random.default_rng(seed + t)
+        margin = relax * reach  # as the trees before left it
         stack = [(np.arange(n), np.arange(n))]
         while stack:
             own, ask = stack.pop()
             if len(own) <= leaf:
                 own = np.sort(own)
-                r, c = _best(f[ask] @ f[own].T, own, ask, k, floor)
+                sims = f[ask] @ f[own].T
+                r, c = _best(sims, own, ask, k, floor)
                 found.append((ask[r], own[c]))
+                if len(own) > k:
+                    sims[ask[:, None] == own[None, :]] = -9
+                    kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+                    # Slack for single precision and for cosines that are equal after rounding.
+                    reach[ask] = np.minimum(reach[ask], np.sqrt(np.maximum(0, 2 - 2 * (kth - 4e-6))))
                 continue
             p = f[own[rng.integers(len(own))]]
             d = np.sqrt(np.maximum(0, 2 - 2 * (f[own] @ p)))
             half = len(own) // 2
             part = np.argpartition(d, half)
             cut = d[part[half]]
+            low, high = own[part[:half]], own[part[half:]]
+            if t == 0:
+                stack += [(low, low), (high, high)]
+                continue
             da = d if ask is own else np.sqrt(np.maximum(0, 2 - 2 * (f[ask] @ p)))
             # The halves may share the border distance, so both tests include it.
-            stack.append((own[part[:half]], ask[da <= cut + margin]))
-            stack.append((own[part[half:]], ask[da >= cut - margin]))
+            stack += [(low, ask[da <= cut + margin[ask]]), (high, ask[da >= cut - margin[ask]])]
     a, b = np.concatenate([q for q, _ in found]), np.concatenate([q for _, q in found])
     # A link found from one end serves both ends.
     a, b = np.concatenate([a, b]), np.concatenate([b, a])
@@ -178,37 +167,38 @@ def search_shard(x: np.ndarray, k: int, min_sim: float | None, relax: float, tre
     return a[rank < k], b[rank < k], cos[rank < k]
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_sim: float | None = None, dims: int = 64, relax: float = 0.05, trees: int = 3, shard_rows: int = 64_000, sample_rows: int = 20_000, cell_rows: int = 2_000, probes: int = 4) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_sim: float | None = None, dims: int = 64, relax: float = 0.1, trees: int = 2, shard_rows: int = 16_000, sample_rows: int = 20_000, probes: int = 3, margin: float = 0.1, cell_rows: int = 2_000) -> DataFrame:
     """``(id, neighbor, cosine, rank)``: the k most similar others of every usable vector.
 
     Cosines are rounded to 6 decimals, equal ones go to the smaller id. ``min_sim`` drops weaker
     neighbours and, as the radius of the search, lets the triangle inequality prune. Vectors that are
     null, of another length, all zero or not finite take no part. Repeated ids with one vector count
-    once; an id is never its own neighbour. Empty input gives no rows. ``sample_rows`` bounds the rows
-    on which the routing tree is fitted; every row is indexed. Without ``min_sim`` the triangle inequality
-    prunes next to nothing: vectors then go to their ``probes`` nearest of cells of about ``cell_rows``,
-    and each cell compares all with all. The fit needs eight sampled rows a cell, or ``sample_rows``.
+    once; an id is never its own neighbour. Empty input gives no rows.
+
+    Shards are cosine k-means cells of about ``shard_rows`` vectors. A vector goes to the shard of its
+    nearest centre and to those of up to ``probes`` centres at most ``margin`` farther away, so a vector
+    is copied ``probes`` times at most however many shards there are. The centres are fitted on
+    ``sample_rows`` rows or eight a shard, whichever is more; every row is indexed. Without ``min_sim``
+    the triangle inequality prunes next to nothing: vectors then go to the four nearest of cells of about
+    ``cell_rows``, and each cell compares all with all.
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null").where(F.size("v") == dims)
     hashed = src.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(17))})
     n = src.count()
-    depth = max(0, math.ceil(math.log2(max(1, n / shard_rows)))) if min_sim is not None else 0
-    cells = math.ceil(n / cell_rows) if min_sim is None else 0
+    cells = math.ceil(n / (shard_rows if min_sim is not None else cell_rows))
+    reach = (probes, margin) if min_sim is not None else (4, FULL_CIRCLE)
     tree = None
-    if depth or cells > probes:
-        # An even sample by hash; its size is bounded by the parameter.
+    if cells > (1 if min_sim is not None else 4):
+        # An even sample by hash; its size is bounded by the parameter and the number of shards.
         sample_rows = max(sample_rows, 8 * cells)
         rate = min(1.0, sample_rows / n)
         rows = hashed.where(F.pmod("h1", F.lit(1 << 20)) < F.lit(int(rate * (1 << 20)) + 1)).select("v").limit(2 * sample_rows).toArrow()
         _, x = unit_rows(rows.column("v"), dims)
         x = np.unique(x, axis=0)
-        if min_sim is None:
-            tree = Cells(x, cells) if len(x) > cells else None
-        else:
-            tree = RoutingTree(x, depth) if len(x) > 2**depth else None
-    radius = FULL_CIRCLE if min_sim is None else math.sqrt(max(0.0, 2 - 2 * min_sim))
-    reach = probes if min_sim is None else relax * radius
+        # Where few vectors are distinct, copies make the table large; they are searched once.
+        cells = min(cells, len(x) // 4)
+        tree = Cells(x, cells) if cells > 1 else None
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,7 +212,7 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_si
             first[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
             keep = order[first]
             x, ids, h1, h2 = x[keep], ids[keep], h1[keep], h2[keep]
-            row, shard = tree.route(x, reach) if tree is not None else (np.arange(len(x)), np.zeros(len(x), np.int64))
+            row, shard = tree.route(x, *reach) if tree is not None else (np.arange(len(x)), np.zeros(len(x), np.int64))
             f = np.ascontiguousarray(x[row].astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(h1[row]), pa.array(h2[row]), pa.array(ids[row]), pa.Array.from_buffers(pa.binary(4 * dims), len(f), [None, pa.py_buffer(f)]).cast(pa.binary())], names=["shard", "h1", "h2", "id", "x"])
 

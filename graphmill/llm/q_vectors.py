@@ -21,3 +21,19 @@ def p2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"p2_found": p2_found, "p2_neighbors": p2_neighbors}
+
+
+SQL = {
+    "p2_found": (
+        "WITH u AS (SELECT DISTINCT chunk_id AS id, embedding AS e, list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') AS m FROM chunks WHERE len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END), 'sum') = 0), "
+        # Scaled by the largest number, so that no square underflows.
+        "v AS MATERIALIZED (SELECT id, list_transform(e, lambda x: x / m) AS e FROM u WHERE m > 0), "
+        "s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.id <> b.id), "
+        "r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM s WHERE c >= 0.85) "
+        "SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE n <= 5"
+    ),
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return SQL
