@@ -183,7 +183,7 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_si
     ``cell_rows``, and each cell compares all with all.
     """
     spark = df.sparkSession
-    src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null").where(F.size("v") == dims)
+    src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(f"id is not null and size(v) = {dims} and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     hashed = src.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(17))})
     n = src.count()
     cells = math.ceil(n / (shard_rows if min_sim is not None else cell_rows))

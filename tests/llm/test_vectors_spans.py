@@ -34,7 +34,8 @@ def clustered(n, dims=64, seed=0):
 def test_similar_vectors_with_awkward_rows(spark):
     rows = clustered(300)
     rows += [(1000 + i, rows[0][1]) for i in range(40)] + [(2000 + i, [3 * v for v in rows[1][1]]) for i in range(3)] + rows[:5]
-    bad = [(5000, None), (5001, []), (5002, [0.0] * 64), (5003, [float("nan")] + [1.0] * 63), (5004, [1.0] * 63), (5005, [float("inf")] + [1.0] * 63), (None, rows[0][1])]
+    bad = [(6000 + i, v) for i in range(3) for v in ([0.0] * 64, [float("nan")] + [1.0] * 63)]
+    bad += [(5000, None), (5001, []), (5002, [0.0] * 64), (5003, [float("nan")] + [1.0] * 63), (5004, [1.0] * 63), (5005, [float("inf")] + [1.0] * 63), (None, rows[0][1])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows + bad], "chunk_id bigint, embedding array<double>, shard string, h1 int")
     got = similar_vectors(df, "chunk_id", "embedding", k=5, min_sim=0.85, relax=1.0, trees=1)
     lists = {}
