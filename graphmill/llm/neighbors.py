@@ -167,7 +167,7 @@ def search_shard(x: np.ndarray, k: int, min_sim: float | None, relax: float, tre
     return a[rank < k], b[rank < k], cos[rank < k]
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_sim: float | None = None, dims: int = 64, relax: float = 0.1, trees: int = 2, shard_rows: int = 16_000, sample_rows: int = 20_000, probes: int = 3, margin: float = 0.1, cell_rows: int = 2_000) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_sim: float | None = None, dims: int = 64, relax: float = 0.1, trees: int = 2, shard_rows: int = 16_000, sample_rows: int = 20_000, probes: int = 3, margin: float = 0.07, cell_rows: int = 2_000) -> DataFrame:
     """``(id, neighbor, cosine, rank)``: the k most similar others of every usable vector.
 
     Cosines are rounded to 6 decimals, equal ones go to the smaller id. ``min_sim`` drops weaker
