@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.llm.spans import documents_with_shared_spans, shared_passages, shared_report
+from graphmill.llm.spans import aligned_passages, documents_with_shared_spans, shared_report
 from graphmill.session import table
 
 
@@ -17,13 +17,23 @@ def p10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text's passages with a partner; documents are named by their smallest id."""
-    passages, members = shared_passages(table(spark, sf_dir, "documents"), min_len=200)
-    names = members.groupBy("tid").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id")
-    a = passages.join(names, "tid")
-    b = names.withColumnsRenamed({"tid": "partner", "doc_id": "partner_doc_id"})
-    return a.join(b, "partner").select("doc_id", "start", "stop", "partner_doc_id", "partner_start", "partner_stop", "exact", "segments")
+    """Each text's passages with a partner and what it takes to turn one into the other."""
+    return aligned_passages(table(spark, sf_dir, "documents"), min_len=200)
 
 
 def queries() -> dict:
     return {"p10_found": p10_found, "p10_report": p10_report, "p10_passages": p10_passages}
+
+
+SQL = {
+    "p10_found": (
+        "WITH t AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200), "
+        "w AS MATERIALIZED (SELECT DISTINCT doc_id, md5(substring(text, i, 200)) AS s FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM t)), "
+        "twice AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1) "
+        "SELECT DISTINCT doc_id FROM w WHERE s IN (SELECT s FROM twice)"
+    ),
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return SQL

@@ -12,11 +12,12 @@
    gets a partner for each anchor without pairs inside a group.
 4. Chains: a text's anchors are merged along their diagonal and chained against each partner with
    linear gap costs through a Fenwick tree; a chain is a passage, exact inside its anchors and fuzzy
-   in the gaps.
+   in the gaps, which ``aligned_passages`` aligns by edit distance.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,8 +96,8 @@ def _pieces(cp: np.ndarray, min_len: int, piece: int = 1 << (POS_BITS - 1)) -> I
 def shared_passages(docs: DataFrame, min_len: int = 200, k: int = 64, gap_cost: float = 0.1, max_gap: int = 400) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` -> (passages, members).
 
-    ``passages(tid, start, stop, partner, partner_start, partner_stop, exact, segments)`` with code
-    point positions; ``members(tid, doc_id, n_chars, copies)`` maps texts to documents (``tid`` is the
+    ``passages(tid, start, stop, partner, partner_start, partner_stop, exact, segments, runs)`` with code
+    point positions (``runs`` are the exact parts); ``members(tid, doc_id, n_chars, copies)`` maps texts to documents (``tid`` is the
     64-bit hash of a text, ``copies`` the documents with that very text). Null and shorter texts have
     no passages; repetition inside one text is none. Repeated ``doc_id`` rows with one text are one
     document; extra columns are ignored. Empty input gives empty tables.
@@ -152,7 +153,7 @@ def shared_passages(docs: DataFrame, min_len: int = 200, k: int = 64, gap_cost:
 
     members = src.select("tid", "doc_id", F.length("text").alias("n_chars")).distinct()
     reps = members.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    seeded = src.select("tid", "text").mapInArrow(seeds, "h bigint, tid bigint")
+    seeded = materialize(src.select("tid", "text").mapInArrow(seeds, "h bigint, tid bigint"), "p10-seeds")
     both = seeded.groupBy("h").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a < b").select("h")
     shared = seeded.join(both, "h", "left_semi").groupBy("tid").agg(F.collect_set("h").alias("hs")).join(reps, "tid").select("doc_id", "tid", "hs")
     texts = src.select("doc_id", "text").join(shared, "doc_id").select("tid", "text", "hs")
@@ -177,62 +178,74 @@ def shared_passages(docs: DataFrame, min_len: int = 200, k: int = 64, gap_cost:
     def chain(t: pa.Table) -> pa.Table:
         return _chains(t, gap_cost, max_gap)
 
-    passages = anchors.groupBy("tid").applyInArrow(chain, "tid bigint, start int, stop int, partner bigint, partner_start int, partner_stop int, exact int, segments int")
+    passages = anchors.groupBy("tid").applyInArrow(chain, "tid bigint, start int, stop int, partner bigint, partner_start int, partner_stop int, exact int, segments int, runs array<struct<x:int,x1:int,y:int>>")
     return passages, members.join(reps.select("tid", "copies"), "tid")
 
 
 class Fenwick:
-    """Prefix maxima of (score, index)."""
+    """Range maxima of (score, index) under point assignments, so that entries can also be taken out."""
+
+    NONE = (-1e18, -1)
 
     def __init__(self, n: int):
-        self.best = [(-1e18, -1)] * (n + 1)
+        self.own = [self.NONE] * (n + 1)
+        self.best = [self.NONE] * (n + 1)
 
     def put(self, i: int, value: tuple[float, int]) -> None:
         i += 1
+        self.own[i] = value
         while i < len(self.best):
-            if value > self.best[i]:
-                self.best[i] = value
+            top, k = self.own[i], 1
+            while k < i & -i:
+                top = max(top, self.best[i - k])
+                k *= 2
+            self.best[i] = top
             i += i & -i
 
-    def get(self, i: int) -> tuple[float, int]:
-        """Largest of positions 0..i."""
-        i, out = i + 1, (-1e18, -1)
-        while i:
-            if self.best[i] > out:
-                out = self.best[i]
-            i &= i - 1
+    def get(self, lo: int, hi: int) -> tuple[float, int]:
+        """Largest of positions lo..hi."""
+        lo, hi, out = lo + 1, hi + 1, self.NONE
+        while hi >= lo:
+            if hi - (hi & -hi) + 1 >= lo:
+                out = max(out, self.best[hi])
+                hi -= hi & -hi
+            else:
+                out = max(out, self.own[hi])
+                hi -= 1
         return out
 
 
 def chain_segments(segments: list[tuple[int, int, int]], gap_cost: float, max_gap: int) -> list[list[int]]:
     """Chains of ``(x, x1, y)`` segments that rise in both texts; gaps cost by their length.
 
-    Dynamic programming in order of ``x``: a segment may follow any that ended before it in both texts;
-    ``score + gap_cost * (end_x + end_y)`` makes the best predecessor a prefix maximum over ``end_y``.
+    Dynamic programming in order of ``x``: a segment may follow any that ended at most ``max_gap`` before
+    it in both texts. ``score + gap_cost * (end_x + end_y)`` makes the best predecessor a maximum over a
+    range of ``end_y``; segments that ended too far back in ``x`` are taken out of the tree.
     """
-    order = sorted(range(len(segments)), key=lambda i: segments[i][0])
-    ends = sorted(range(len(segments)), key=lambda i: segments[i][1])
-    ys = sorted({y + x1 - x for x, x1, y in segments})
-    rank = {v: i for i, v in enumerate(ys)}
-    tree, score, prev, done = Fenwick(len(ys)), [0.0] * len(segments), [-1] * len(segments), 0
+    n = len(segments)
+    end_y = [y + x1 - x for x, x1, y in segments]
+    place = sorted(range(n), key=lambda i: (end_y[i], i))  # a place of its own for each segment
+    rank = {j: r for r, j in enumerate(place)}
+    ys = [end_y[j] for j in place]
+    order = sorted(range(n), key=lambda i: segments[i][0])
+    ends = sorted(range(n), key=lambda i: segments[i][1])
+    tree, score, prev, entered, left = Fenwick(n), [0.0] * n, [-1] * n, 0, 0
     for i in order:
         x, x1, y = segments[i]
-        while done < len(ends) and segments[ends[done]][1] <= x:
-            j = ends[done]
-            jx, jx1, jy = segments[j]
-            tree.put(rank[jy + jx1 - jx], (score[j] + gap_cost * (jx1 + jy + jx1 - jx), j))
-            done += 1
+        while entered < n and segments[ends[entered]][1] <= x:
+            j = ends[entered]
+            tree.put(rank[j], (score[j] + gap_cost * (segments[j][1] + end_y[j]), j))
+            entered += 1
+        while left < entered and segments[ends[left]][1] < x - max_gap:
+            tree.put(rank[ends[left]], Fenwick.NONE)
+            left += 1
         score[i] = x1 - x
-        lo = np.searchsorted(ys, y, side="right") - 1
-        if lo >= 0:
-            s, j = tree.get(int(lo))
-            if j >= 0:
-                jx, jx1, jy = segments[j]
-                if s - gap_cost * (x + y) > 0 and x - jx1 <= max_gap and y - (jy + jx1 - jx) <= max_gap:
-                    score[i] += s - gap_cost * (x + y)
-                    prev[i] = j
-    used, out = [False] * len(segments), []
-    for i in sorted(range(len(segments)), key=lambda i: -score[i]):
+        s, j = tree.get(bisect_left(ys, y - max_gap), bisect_right(ys, y) - 1)
+        if j >= 0 and s - gap_cost * (x + y) > 0:
+            score[i] += s - gap_cost * (x + y)
+            prev[i] = j
+    used, out = [False] * n, []
+    for i in sorted(range(n), key=lambda i: -score[i]):
         if used[i]:
             continue
         c = []
@@ -244,6 +257,54 @@ def chain_segments(segments: list[tuple[int, int, int]], gap_cost: float, max_ga
     return out
 
 
+def edits(a: str, b: str) -> int:
+    """Edit distance (insertions, deletions, replacements), one numpy row a character of ``a``."""
+    if not a or not b:
+        return len(a) + len(b)
+    if len(a) > len(b):
+        a, b = b, a
+    q = points(b)
+    at = np.arange(len(q) + 1)
+    row = at.copy()
+    for i, c in enumerate(points(a), 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (q != c))
+        row = np.minimum.accumulate(new - at) + at  # insertions run along the row
+    return int(row[-1])
+
+
+def aligned_passages(docs: DataFrame, min_len: int = 200) -> DataFrame:
+    """``shared_passages`` with ``(doc_id, start, stop, partner_doc_id, partner_start, partner_stop, exact, segments, edits, identity)``.
+
+    Texts are named by their smallest document. The gaps between a chain's exact runs are aligned:
+    ``edits`` is their edit distance, ``identity`` the share of the longer side that stands unchanged.
+    """
+    passages, members = shared_passages(docs, min_len)
+    passages = materialize(passages, "p10-chains")
+    names = members.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(names, "doc_id").where("xxhash64(text) = tid").select("tid", "doc_id", "text").dropDuplicates(["tid"])
+    fuzzy = passages.where("segments > 1").select("tid", "start", "stop", "partner", "partner_start", "partner_stop", "runs", F.monotonically_increasing_id().alias("n"))
+    fuzzy = materialize(fuzzy, "p10-fuzzy")
+    mine = fuzzy.join(texts.select("tid", F.col("text").alias("t")), "tid").select("n", "partner", "runs", F.expr("substring(t, start + 1, stop - start)").alias("a"), F.col("start").alias("x"), "partner_start", "partner_stop")
+    both = mine.join(texts.select(F.col("tid").alias("partner"), F.col("text").alias("t")), "partner").select("n", "runs", "x", F.col("partner_start").alias("y"), "a", F.expr("substring(t, partner_start + 1, partner_stop - partner_start)").alias("b"))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for runs, x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("runs", "x", "y", "a", "b"))):
+                pairs = zip(runs, runs[1:])
+                out.append(sum(edits(a[p["x1"] - x : q["x"] - x], b[p["y"] + p["x1"] - p["x"] - y : q["y"] - y]) for p, q in pairs))
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(out, pa.int32())], names=["n", "edits"])
+
+    found = both.mapInArrow(align, "n bigint, edits int")
+    key = ["tid", "start", "stop", "partner", "partner_start", "partner_stop"]
+    found = fuzzy.join(found, "n").groupBy(*key).agg(F.min("edits").alias("edits"))
+    out = passages.join(found, key, "left").join(names, "tid").join(names.withColumnsRenamed({"tid": "partner", "doc_id": "partner_doc_id"}), "partner")
+    e, longer = F.coalesce("edits", F.lit(0)), F.greatest(F.col("stop") - F.col("start"), F.col("partner_stop") - F.col("partner_start"))
+    return out.select("doc_id", "start", "stop", "partner_doc_id", "partner_start", "partner_stop", "exact", "segments", e.alias("edits"), F.round(1 - e / longer, 6).alias("identity"))
+
+
 def _chains(t: pa.Table, gap_cost: float, max_gap: int) -> pa.Table:
     cols = {c: t.column(c).to_numpy() for c in ("tid", "x", "x1", "partner", "y")}
     out: list[tuple] = []
@@ -260,9 +321,9 @@ def _chains(t: pa.Table, gap_cost: float, max_gap: int) -> pa.Table:
     for p, segs in groups.items():
         for c in chain_segments([tuple(s) for s in segs], gap_cost, max_gap):
             first, last = segs[c[0]], segs[c[-1]]
-            out.append((tid, first[0], last[1], p, first[2], last[2] + last[1] - last[0], sum(segs[i][1] - segs[i][0] for i in c), len(c)))
-    names = ["tid", "start", "stop", "partner", "partner_start", "partner_stop", "exact", "segments"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            out.append((tid, first[0], last[1], p, first[2], last[2] + last[1] - last[0], sum(segs[i][1] - segs[i][0] for i in c), len(c), [dict(zip(("x", "x1", "y"), segs[i])) for i in c]))
+    names = ["tid", "start", "stop", "partner", "partner_start", "partner_stop", "exact", "segments", "runs"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([(c, pa.int32()) for c in ("x", "x1", "y")]))]
     return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphmill.llm.neighbors import Cells, mutual_pairs, search_shard, similar_vectors, unit_rows
-from graphmill.llm.spans import Fenwick, Rolling, chain_segments, documents_with_shared_spans, minimizers, points, shared_passages, shared_report
+from graphmill.llm.spans import Fenwick, aligned_passages, Rolling, chain_segments, documents_with_shared_spans, edits, minimizers, points, shared_passages, shared_report
 
 
 def brute_neighbors(rows, k, floor):
@@ -182,12 +182,40 @@ def test_fenwick_chain_equals_quadratic():
     f, best = Fenwick(50), [(-1e18, -1)] * 50
     for k in range(300):
         i, v = rng.randrange(50), (rng.random(), k)
+        if k % 3 == 2:
+            v = Fenwick.NONE
         f.put(i, v)
-        best[i] = max(best[i], v)
-        j = rng.randrange(50)
-        assert f.get(j) == max(best[: j + 1])
+        best[i] = v
+        lo, hi = sorted((rng.randrange(50), rng.randrange(50)))
+        assert f.get(lo, hi) == max(best[lo : hi + 1]) and f.get(hi + 1, hi) == Fenwick.NONE
     segs = [(x, x + 10, x + 5) for x in range(0, 100, 20)] + [(15, 25, 500)]
     assert [segs[i] for i in chain_segments(segs, 0.1, 400)[0]] == segs[:5]
+    # A long far segment does not hide a near one.
+    assert chain_segments([(0, 9000, 0), (9450, 9700, 9450), (9720, 10000, 9720)], 0.1, 400)[1] == [1, 2]
+
+
+def test_edits():
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i] + [0] * len(b) if (old := row) else row
+            for j, y in enumerate(b, 1):
+                row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab\U0001f600") for _ in range(rng.randrange(12))) for _ in range(2))
+        assert edits(a, b) == slow(a, b)
+
+
+def test_fuzzy_passages_are_aligned(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    a, b = word(400), word(300)
+    docs = spark.createDataFrame([(1, a + "MIDDLE" + b), (2, word(50) + a + "MIDxLEs" + b), (3, word(500)), (2, word(50))], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in aligned_passages(docs).collect()}
+    assert set(got) == {1, 2} and got[1].edits == 2 and got[1].segments == 2 and got[1].exact == 703 and abs(got[2].identity - (1 - 2 / 707)) < 1e-6
 
 
 @pytest.mark.parametrize("k,n", [(60, 200), (64, 70)])
