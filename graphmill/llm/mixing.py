@@ -23,8 +23,9 @@ def plan_sources(texts: DataFrame, targets: DataFrame, total_tokens: int | None
     """One row per target source: ``(source, target_weight, weight, max_repeats, texts, tokens, demand, tilt, total)``.
 
     ``weight`` is the target shared out among sources that have tokens. The size of the mix is the
-    largest at which every such source reaches its weight within its repeats (or ``total_tokens`` if
-    that is smaller). The tilt prefers sources with short texts early.
+    largest at which every such source reaches its weight within its repeats, or ``total_tokens``: then a
+    source gives what its repeats allow and may fall short of its weight, as the reached shares tell. The
+    tilt prefers sources with short texts early.
     """
     t = targets.select(source_name(F.col("source")).alias("source"), F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("max_repeats")).where("source is not null and target_weight > 0")
     t = t.groupBy("source").agg(F.sum("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
@@ -34,8 +35,8 @@ def plan_sources(texts: DataFrame, targets: DataFrame, total_tokens: int | None
     live = F.col("tokens") > 0
     s = s.withColumn("weight", F.when(live, F.col("target_weight") / F.sum(F.when(live, F.col("target_weight"))).over(every)).otherwise(0.0))
     s = s.withColumn("most", F.min(F.when(live, F.col("max_repeats") * F.col("tokens") / F.col("weight"))).over(every))
-    most = F.col("most") if total_tokens is None else F.least("most", F.lit(float(total_tokens)))
-    s = s.withColumn("demand", F.coalesce(F.col("weight") * most, F.lit(0.0)))
+    most = F.col("most") if total_tokens is None else F.lit(float(total_tokens))
+    s = s.withColumn("demand", F.coalesce(F.least(F.col("weight") * most, (F.col("max_repeats") * F.col("tokens")).cast("double")), F.lit(0.0)))
     rank = Window.partitionBy(F.lit(0)).orderBy(F.when(live, F.col("tokens") / F.col("texts")).otherwise(0.0), "source")
     s = s.withColumn("z", F.percent_rank().over(rank))
     s = s.withColumn("tilt", F.lit(curriculum) * (F.sum(F.col("weight") * F.col("z")).over(every) - F.col("z")))
@@ -58,7 +59,8 @@ def training_order(texts: DataFrame, plan: DataFrame, seed: int = 1, bucket_rows
     sums = sums.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("b")) - F.col("s")).drop("s")
     inside = Window.partitionBy("source", "b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("own", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(sums, ["source", "b"])
-    t = t.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
+    epochs = F.least(F.col("max_repeats").cast("bigint"), F.ceil(F.col("demand") / F.col("all")))
+    t = t.where("demand > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), (epochs - 1).cast("int"))))
     mid = F.col("epoch") * F.col("all") + F.col("before") + F.col("own") + F.col("n_tokens") / 2
     t = t.withColumn("share", mid / F.col("demand")).where("share <= 1")
     a = F.col("tilt")
