@@ -3,9 +3,11 @@
 Payload texts of a batch are read into nested Arrow arrays by Arrow's JSON reader. The arrays are
 then flattened column by column: a list's offsets give its children's parent index and position, the
 child array is taken as a whole, and keys and paths of the parents follow by vectorised ``take``.
-No row is walked in Python. Texts whose types clash within one Arrow column (``1`` here, ``{}``
-there) are split into groups until each group has one schema; a single text that clashes with itself
-is laid out as its own offsets and parent indices by the same kernels over a frontier of values.
+Before that each text is decoded once, to tell complete JSON from other text and to open a string that
+holds JSON. Numbers are read as the text they are written as, so that no value depends on its batch.
+Texts whose types clash within one Arrow column (``1`` here, ``{}`` there) are split into groups until
+each group has one schema; a single text that clashes with itself is laid out level by level as offsets
+and parent indices over a frontier of Python values.
 """
 
 from __future__ import annotations
@@ -23,6 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = pa.map_(pa.string(), pa.string())
+# A number and all that stands before it since the last one; with a number at the end the matches are seamless.
+_NUMBER = re.compile(r'((?:[^"\d\-]++|"(?:[^"\\]|\\.)*+")*+)(-?\d[\d.eE+\-]*+)', re.S)
+
+
+def numbers_quoted(text: str) -> str:
+    """JSON text with each number as a string."""
+    return _NUMBER.sub(r'\1"\2"', text + "0")[:-3]
 
 
 def _reject(_: str):
@@ -32,16 +41,17 @@ def _reject(_: str):
 def opened(text: str | None) -> tuple[str, object] | None:
     """A payload that is an object or array as one line of JSON and its value, else null.
 
-    A JSON string that holds JSON is opened once. Incomplete text, NaN and infinities give null.
+    A JSON string that holds JSON is opened once. Incomplete text, NaN and infinities give null. Numbers
+    stand as their text in the value.
     """
     if text is None:
         return None
     try:
         text = text.lstrip("\ufeff")
-        value = json.loads(text, parse_constant=_reject)
+        value = json.loads(text, parse_constant=_reject, parse_int=str, parse_float=str)
         if isinstance(value, str):
             text = value
-            value = json.loads(text, parse_constant=_reject)
+            value = json.loads(text, parse_constant=_reject, parse_int=str, parse_float=str)
         if not isinstance(value, (dict, list)):
             return None
         # Strings hold no raw line ends in JSON, so these can only stand between tokens.
@@ -139,7 +149,7 @@ def _untimed(t: pa.DataType) -> pa.DataType:
 
 
 def _read(lines: list[str], with_fields: bool) -> pa.Array:
-    data = "\n".join('{"v":' + x + "}" for x in lines).encode("utf-8")
+    data = "\n".join('{"v":' + (numbers_quoted(x) if with_fields else x) + "}" for x in lines).encode("utf-8")
     opts = pj.ReadOptions(use_threads=False, block_size=len(data) + 64)
     t = pj.read_json(io.BytesIO(data), read_options=opts)
     if with_fields and (want := _untimed(t.schema.field("v").type)) != t.schema.field("v").type:
@@ -177,7 +187,7 @@ def _kinds(value, path: str) -> set[str]:
             level = [x for v in level if isinstance(v, list) for x in v]
         else:
             level = [v[step] for v in level if isinstance(v, dict) and step in v]
-    return {"o" if isinstance(v, dict) else "a" if isinstance(v, list) else "s" if isinstance(v, str) else "b" if isinstance(v, bool) else "n" for v in level if v is not None}
+    return {"o" if isinstance(v, dict) else "a" if isinstance(v, list) else "b" if isinstance(v, bool) else "s" for v in level if v is not None}
 
 
 def _group(lines: list[str], values: list, rows: np.ndarray, sink: _Sink) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphmill.operators.components import connected_components
-from graphmill.operators.nested import flat_table, nested_nodes
+from graphmill.operators.nested import flat_table, nested_nodes, numbers_quoted
 from graphmill.operators.redelivery import MessageStore, repeated_deliveries
 
 EVENT = "delivery_id bigint, batch_no bigint, event_id string, event_source string, tenant_id string, provider_event_id string, received_at string"
@@ -59,6 +59,15 @@ def test_flat_table_keeps_values_as_text(spark):
     assert (f.parent_path, f.path, f.status) == ("$.commits[0]", "p", None)
 
 
+def test_numbers_are_kept_as_written(spark):
+    assert numbers_quoted('{"a-1":-1.50e+3,"s":"x \\"5, 6\\" -7","b":[1,2.0],"c":true}') == '{"a-1":"-1.50e+3","s":"x \\"5, 6\\" -7","b":["1","2.0"],"c":true}'
+    assert numbers_quoted('{"s":"no 5"}') == '{"s":"no 5"}' and numbers_quoted("[]") == "[]"
+    texts = ['{"a":[{"big":9007199254740993}]}', '{"a":[{"big":1.5}]}', '{"a":[{"big":"7"},{"big":{"x":1e400}}]}', '{"a":[{"big":[1,{}]}, {"big":10000000000000000000001}]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "delivery_id bigint, raw_payload string").coalesce(1)
+    got = {(r.delivery_id, r.node_path): r.fields for r in nested_nodes(df, "delivery_id", ["raw_payload"], with_fields=True).collect()}
+    assert got[(0, "$.a[0]")] == {"big": "9007199254740993"} and got[(1, "$.a[0]")] == {"big": "1.5"} and got[(2, "$.a[0]")] == {"big": "7"} and got[(3, "$.a[1]")] == {"big": "10000000000000000000001"}
+
+
 def test_nested_empty_table(spark):
     df = spark.createDataFrame([], "delivery_id bigint, raw_payload string")
     assert nested_nodes(df, "delivery_id", ["raw_payload"]).count() == 0
