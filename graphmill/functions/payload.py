@@ -1,7 +1,8 @@
 """Provider payloads: field access, event types, channels and rich text."""
 
-from __future__ import annotations
+import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,10 +55,15 @@ def bare_address(address: Column) -> Column:
     return F.regexp_replace(address, "^(" + "|".join(CHANNELS) + ")", "")
 
 
-def form_fields(body: Column) -> Column:
-    """URL-encoded form to map; blank values stay, the last of repeated keys wins, ``+`` is a blank."""
-    pairs = F.filter(F.split(F.coalesce(body, F.lit("")), "&"), lambda p: p != "")
-    kv = F.transform(pairs, lambda p: F.struct(F.coalesce(F.try_url_decode(F.get(F.split(p, "=", 2), F.lit(0))), F.lit("")).alias("k"), F.coalesce(F.try_url_decode(F.coalesce(F.get(F.split(p, "=", 2), F.lit(1)), F.lit(""))), F.lit("")).alias("v")))
+def _form_pairs(body: Column) -> Column:
+    part = lambda p, i: F.coalesce(F.try_url_decode(F.coalesce(F.get(F.split(p, "=", 2), F.lit(i)), F.lit(""))), F.lit(""))
+    return F.transform(F.filter(F.split(F.coalesce(body, F.lit("")), "&"), lambda p: p != ""), lambda p: F.struct(part(p, 0).alias("k"), part(p, 1).alias("v")))
+
+
+def form_fields(body: Column, first: bool = False) -> Column:
+    """URL-encoded form to map; blank values stay, ``+`` is a blank; the last of repeated keys wins, or the first."""
+    kv = _form_pairs(body)
+    kv = F.reverse(kv) if first else kv
     last = F.filter(kv, lambda e, i: ~F.exists(F.slice(kv, i + 2, F.size(kv) + 1), lambda later: later["k"] == e["k"]))
     return F.map_from_entries(last)
 
@@ -75,14 +81,46 @@ def merged_fields(first: Column, later: Column) -> Column:
     return F.map_from_entries(F.concat(F.filter(F.map_entries(first), lambda e: ~F.array_contains(F.map_keys(later), e["key"])), F.map_entries(later)))
 
 
+def _leaves(document: str | None) -> str:
+    """The ``text`` leaves of a JSON tree, joined in document order; broken JSON has none."""
+    try:
+        todo, out = [json.loads(document)] if document else [], []
+    except ValueError:
+        return ""
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo += reversed(node)
+        elif isinstance(node, dict):
+            if isinstance(node.get("text"), str):
+                out.append(node["text"])
+            todo.append(node.get("content"))
+    return "".join(out)
+
+
 def rich_text(document: Column) -> Column:
-    """Text leaves of a rich-text document in document order (``document`` is JSON text)."""
-    leaves = F.regexp_extract_all(F.coalesce(document, F.lit("")), F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
-    return F.concat_ws("", leaves)
+    """Text of a rich-text document (``document`` is JSON text); null and broken JSON give an empty text.
+
+    The tree has no bounded depth, so it is walked in Arrow batches; Java's patterns overflow on long texts.
+    """
+
+    def walk(texts: pd.Series) -> pd.Series:
+        return texts.map(_leaves)
+
+    return F.pandas_udf(walk, "string")(document)
+
+
+def transition_status(payload: Column) -> Column:
+    """Status a tracker event leads to: its transition's, else that of the change log's status item, else the issue's, else empty."""
+    items = F.coalesce(F.from_json(F.try_variant_get(payload, "$.changelog.items", "string"), "array<struct<field:string,toString:string>>"), F.from_json(F.lit("[]"), "array<struct<field:string,toString:string>>"))
+    moved = F.get(F.filter(items, lambda i: i["field"] == "status"), F.lit(0))["toString"]
+    given = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(given(text_at(payload, "$.transition.to_status")), given(moved), text_at(payload, "$.issue.fields.status.name"), F.lit(""))
 
 
-def run_id(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, "agent_run_id=([a-f0-9-]{36})", 1), F.lit(""))
+def run_id(text: Column, key: str) -> Column:
+    """Id written as ``key=<36 hex digits and dashes>`` somewhere in a text, else null."""
+    return F.nullif(F.regexp_extract(text, rf"(?<![A-Za-z0-9_]){key}=([a-f0-9-]{{36}})", 1), F.lit(""))
 
 
 def fence_stripped(raw: Column) -> Column:

@@ -36,15 +36,15 @@ def refers(text: Column, name: Column) -> Column:
     return F.exists(positions(text, name), at)
 
 
-def service_references(texts: DataFrame, services: DataFrame, max_names: int = 10_000) -> DataFrame:
+def service_references(texts: DataFrame, services: DataFrame) -> DataFrame:
     """``texts(service, file_path, text)`` -> ``(service, file_path, reference)``, self-references left out.
 
-    Texts are cut into word runs and their dash-joined combinations, matched to names by an equi-join;
-    only matching pairs are tested for their surroundings. Names are parts of hyphenated words, so a
-    pair is a candidate if the name's first word occurs in the text.
+    A name's first word must stand in a text, so texts and names meet by an equi-join on words. Only a
+    text's key travels with its words; the text itself is joined back to the matching pairs, which alone
+    are tested for their surroundings. Null texts refer to nothing.
     """
     names = services.select(F.lower("name").alias("reference")).distinct().withColumn("w", F.regexp_extract("reference", f"({ALNUM}+)", 1))
-    t = texts.select("service", "file_path", F.lower("text").alias("text"))
-    keyed = t.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ALNUM}+)"), 1))))
-    pairs = keyed.join(names, "w").where(F.lower("service") != F.col("reference")).where(F.contains("text", F.col("reference")))
+    t = texts.where("text is not null").select("service", "file_path", F.lower("text").alias("text")).withColumn("k", F.xxhash64("service", "file_path", "text"))
+    keyed = t.select("k", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ALNUM}+)"), 1))).alias("w"))
+    pairs = t.join(keyed.join(names, "w").select("k", "reference").distinct(), "k").where(~F.lower("service").eqNullSafe(F.col("reference")) & F.contains("text", F.col("reference")))
     return pairs.where(refers(F.col("text"), F.col("reference"))).select("service", "file_path", "reference").distinct()

@@ -75,3 +75,52 @@ def next_action(heads: DataFrame, state: DataFrame) -> DataFrame:
     """Per service: up to date, incremental from the last commit, or a full ingest."""
     j = heads.join(state, "service", "left")
     return j.select("service", F.when(F.col("commit_sha").isNull(), "full").when(F.col("commit_sha") == F.col("head_sha"), "up_to_date").otherwise("incremental").alias("action"))
+
+
+def retire(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A table without retired columns; columns it never had are no error."""
+    return rows.drop(*columns)
+
+
+def commit_state(state: DataFrame, commits: DataFrame) -> DataFrame:
+    """``state(service, commit_sha, committed_at, fingerprint)`` after ``commits(service, commit_sha, at[, fingerprint])``.
+
+    The commit and its ISO instant replace a service's older ones; its fingerprint is cleared unless given.
+    """
+    given = F.col("fingerprint") if "fingerprint" in commits.columns else F.lit(None).cast("string")
+    new = commits.select("service", "commit_sha", F.date_format(F.col("at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("committed_at"), given.alias("fingerprint"))
+    return state.join(new.select("service"), "service", "left_anti").unionByName(new)
+
+
+def in_scope(services: DataFrame, names: list[str], column: str = "name") -> DataFrame:
+    """Services of some names in whatever letter case; no names mean all."""
+    return services.where(F.lower(column).isin([n.strip().lower() for n in names])) if names else services
+
+
+def symbols_of(classes: DataFrame, functions: DataFrame, services: list[str]) -> DataFrame:
+    """Classes and functions of some services in one table with ``kind``, without their source."""
+    both = classes.withColumn("kind", F.lit("class")).unionByName(functions.withColumn("kind", F.lit("function")), allowMissingColumns=True)
+    return both.where(F.col("service").isin(services)).drop("source_snippet")
+
+
+def service_references(files: DataFrame) -> DataFrame:
+    """``(service, references)``: distinct and sorted references of all files of a service; null lists count as none."""
+    each = files.select("service", F.explode("references").alias("r")).where("r is not null").distinct()
+    return each.groupBy("service").agg(F.sort_array(F.collect_list("r")).alias("references"))
+
+
+def missing_keys(expected: DataFrame, returned: DataFrame, key: str) -> DataFrame:
+    """Expected keys that were not returned, each once."""
+    return expected.select(key).distinct().join(returned.select(key), key, "left_anti")
+
+
+def file_rows(symbols: DataFrame, tracked: DataFrame, blobs: DataFrame, key: list[str]) -> DataFrame:
+    """File rows of runs ``(*key, file_path, language, blob_sha)``.
+
+    A file with symbols has their language (the smallest of several), any other tracked file the one its
+    tracking says; files without a known blob have none.
+    """
+    path = [*key, "file_path"]
+    own = symbols.groupBy(*path).agg(F.min("language").alias("language"))
+    rest = tracked.select(*path, "language").distinct().join(own.select(*path), path, "left_anti")
+    return own.unionByName(rest).join(blobs, path, "left")

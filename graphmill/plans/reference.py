@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphmill.functions import hashing, paths, payload, tokens
+from graphmill.functions import hashing, paths, payload, requests, tokens
 from graphmill.functions.proximity import service_references
 from graphmill.operators import digest, graph, ingest, maintain, plan_doc, rank, vector, verify
 from graphmill.operators.redelivery import instant, provider_id
@@ -316,13 +316,28 @@ def j5(s, d):
     return services(s, d).join(k.select(F.col("service").alias("name")), "name", "left_anti").select("name")
 
 
-@query("ref_f6_service_refs")
+@query(
+    "ref_f6_service_refs",
+    "WITH t AS (SELECT service, 'document ' || doc_id AS file_path, lower(text) AS t FROM documents WHERE text IS NOT NULL), "
+    "p AS (SELECT t.*, lower(s.name) AS r FROM t JOIN services s ON contains(t.t, lower(s.name)) AND t.service IS DISTINCT FROM lower(s.name)), "
+    "q AS (SELECT service, file_path, r, string_split(t, r) AS x FROM p), "
+    "k AS (SELECT *, unnest(generate_series(1, len(x) - 1)) AS k FROM q), "
+    "m AS (SELECT service, file_path, r, right(list_reduce(x[1:k], lambda u, v: u || r || v), 60) AS a, left(list_reduce(x[k + 1:], lambda u, v: u || r || v), 60) AS b FROM k) "
+    "SELECT DISTINCT service, file_path, r AS reference FROM m WHERE NOT regexp_matches(right(a, 1), '[\\p{L}\\p{N}]') AND NOT regexp_matches(left(b, 1), '[\\p{L}\\p{N}]') AND ("
+    "regexp_matches(a || r || b, '(^|[^\\p{L}\\p{N}])(url|uri|endpoint|graphql|gateway)($|[^\\p{L}\\p{N}])') OR regexp_matches(a, 'https?://[^/:''\"\\\\\\s?#]*$'))",
+)
 def f6(s, d):
-    """References to services in the files a reference scan reads (small, textual, not pruned)."""
-    f = snapshots.scannable(table(s, d, "source_files").where("content is not null"))
-    text = f.select("service", "file_path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    own = services(s, d).select("name")
-    return service_references(text, own)
+    """References to services in the documents' texts."""
+    docs = table(s, d, "documents").select("service", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("file_path"), "text")
+    return service_references(docs, services(s, d).select("name"))
+
+
+@query("ref_s4_scannable", "SELECT file_id, size_bytes FROM source_files WHERE size_bytes <= 500000 AND content IS NOT NULL AND language <> 'csv' AND language <> 'bpmn'")
+def s4(s, d):
+    """Files a reference scan reads: small, textual, not pruned; endings count in any letter case."""
+    t = table(s, d, "source_files").where("content is not null and language <> 'csv' and language <> 'bpmn'").withColumn("file_path", F.concat(F.lit("x/"), F.element_at(F.split("file_path", "/"), -1)))
+    up = F.when(F.col("file_id") % 2 == 0, F.regexp_replace("file_path", r"\.[^.]*$", F.upper(F.regexp_extract("file_path", r"(\.[^.]*)$", 1)))).otherwise(F.col("file_path"))
+    return snapshots.scannable(t.withColumn("file_path", up)).select("file_id", "size_bytes")
 
 
 @query("ref_k4_replace_edges", f"WITH {CALLS}, w AS (SELECT DISTINCT source, min(target) OVER () AS target FROM calls WHERE source < 'm') SELECT source, target FROM calls WHERE source NOT IN (SELECT source FROM w) UNION SELECT source, target FROM w WHERE target IN (SELECT name FROM services)")
@@ -491,22 +506,33 @@ def w6(s, d):
     return table(s, d, "repo_graphs").select("service", F.col("commit_sha").alias("source"), F.lead("commit_sha").over(w).alias("target"), F.row_number().over(w).alias("step"))
 
 
-@query("ref_w7_embed_batches")
+@query(
+    "ref_w7_embed_batches",
+    "WITH RECURSIVE r AS (SELECT chunk_id, coalesce(length(text), 0) AS chars, chunk_id // 1000 AS part, row_number() OVER (PARTITION BY chunk_id // 1000 ORDER BY chunk_id) AS i FROM chunks), "
+    "f AS (SELECT part, i, chunk_id, chars, 0 AS batch, 1 AS n, chars AS size FROM r WHERE i = 1 UNION ALL "
+    "SELECT r.part, r.i, r.chunk_id, r.chars, CASE WHEN f.n = 100 OR f.size + r.chars > 200000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n = 100 OR f.size + r.chars > 200000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n = 100 OR f.size + r.chars > 200000 THEN r.chars ELSE f.size + r.chars END FROM f JOIN r ON r.part = f.part AND r.i = f.i + 1) "
+    "SELECT chunk_id, CAST(chars AS BIGINT) AS chars, part, CAST(batch AS BIGINT) AS batch FROM f",
+)
 def w7(s, d):
-    """Chunks packed into embedding requests of at most 100 texts or 200,000 characters, task by task."""
+    """Chunks packed into embedding requests of at most 100 texts or 200,000 characters.
+
+    Packing runs in order of ids within ranges of 1,000 ids, so ``(part, batch)`` names the same request
+    however the table is split over tasks.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk_id")
         n = size = batch = 0
-        for b in batches:
-            out = []
-            for x in b.column(1).to_pylist():
-                if n and (n == 100 or size + x > 200_000):
-                    batch, n, size = batch + 1, 0, 0
-                n, size = n + 1, size + x
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], names=["chunk_id", "chars", "batch"])
+        out = []
+        for x in t.column("chars").to_pylist():
+            if n and (n == 100 or size + x > 200_000):
+                batch, n, size = batch + 1, 0, 0
+            n, size = n + 1, size + x
+            out.append(batch)
+        return t.append_column("batch", pa.array(out, pa.int64()))
 
-    return table(s, d, "chunks").select("chunk_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).mapInArrow(run, "chunk_id bigint, chars int, batch bigint")
+    rows = table(s, d, "chunks").select("chunk_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars"), F.floor(F.col("chunk_id") / 1000).alias("part"))
+    return rows.groupBy("part").applyInArrow(run, "chunk_id bigint, chars bigint, part bigint, batch bigint")
 
 
 @query("ref_w8_chunks")
@@ -515,12 +541,35 @@ def w8(s, d):
     return ingest.chunk_functions(latest_symbols(s, d).where("kind = 'function'"))
 
 
-@query("ref_d2_incremental")
+_RUNS = "runs AS (SELECT service, arg_min(commit_sha, (ingested_at, commit_sha)) AS a, arg_max(commit_sha, (ingested_at, commit_sha)) AS b FROM repo_graphs WHERE ingested_at IS NOT NULL GROUP BY 1)"
+_OF_RUN = "SELECT p.service, file_path, qualified_name, arg_max(name, symbol_id) AS name, arg_max(docstring, symbol_id) AS docstring FROM parsed_symbols p JOIN runs ON runs.service = p.service AND p.commit_sha = runs.{} GROUP BY ALL"
+
+
+@query(
+    "ref_d2_incremental",
+    f"WITH {_RUNS}, o AS (SELECT p.service, file_path, qualified_name, name, docstring FROM (SELECT *, row_number() OVER (PARTITION BY service, commit_sha, qualified_name ORDER BY symbol_id DESC) AS rn FROM parsed_symbols) p JOIN runs ON runs.service = p.service AND p.commit_sha = runs.a WHERE rn = 1), "
+    "n AS (SELECT p.service, file_path, qualified_name, name, docstring FROM (SELECT *, row_number() OVER (PARTITION BY service, commit_sha, qualified_name ORDER BY symbol_id DESC) AS rn FROM parsed_symbols) p JOIN runs ON runs.service = p.service AND p.commit_sha = runs.b WHERE rn = 1), "
+    "f AS (SELECT service, file_path, commit_sha, blob_sha FROM source_files JOIN runs USING (service) WHERE commit_sha IN (a, b)), "
+    "x AS (SELECT f.service, file_path, blob_sha FROM f JOIN runs ON runs.service = f.service AND commit_sha = a), y AS (SELECT f.service, file_path, blob_sha FROM f JOIN runs ON runs.service = f.service AND commit_sha = b), "
+    "gone AS (SELECT service, file_path FROM x WHERE (service, file_path) NOT IN (SELECT service, file_path FROM y)), "
+    "again AS (SELECT y.service, y.file_path FROM y LEFT JOIN x USING (service, file_path) WHERE x.file_path IS NULL OR y.blob_sha IS DISTINCT FROM x.blob_sha) "
+    "SELECT * FROM o WHERE (service, file_path) NOT IN (SELECT * FROM gone UNION ALL SELECT * FROM again) UNION ALL SELECT * FROM n WHERE (service, file_path) IN (SELECT * FROM again)",
+)
 def d2(s, d):
-    """The symbol table after the change feed between each service's first and last run."""
-    feed = _feed(s, d).withColumn("action", F.when(F.col("status") == "removed", "delete").when(F.col("status") == "renamed", "relabel").otherwise("reparse"))
-    sym = latest_symbols(s, d).select("service", "file_path", "qualified_name", "name", "docstring")
-    return ingest.incremental_ingest(sym, sym, feed, ["service", "qualified_name"])
+    """The symbol table of each service's first run after the change feed to its last one (renames as remove and add)."""
+    runs = table(s, d, "repo_graphs").where("ingested_at is not null").groupBy("service").agg(F.min(F.struct("ingested_at", "commit_sha")).alias("a"), F.max(F.struct("ingested_at", "commit_sha")).alias("b")).select("service", F.col("a.commit_sha").alias("a"), F.col("b.commit_sha").alias("b"))
+    of = lambda t, side: t.join(runs.select("service", F.col(side).alias("commit_sha")), ["service", "commit_sha"], "left_semi")
+    files, symbols = table(s, d, "source_files").select("service", "commit_sha", "file_path", "blob_sha"), table(s, d, "parsed_symbols")
+    w = Window.partitionBy("service", "commit_sha", "qualified_name").orderBy(F.desc("symbol_id"))
+    symbols = symbols.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("service", "commit_sha", "file_path", "qualified_name", "name", "docstring")
+    old, new = (of(symbols, side).drop("commit_sha") for side in "ab")
+    before, after = (of(files, side) for side in "ab")
+    feed = maintain.diff_snapshots(before, after).select("service", "file_path", "status", "previous_path")
+    # The stored table has no rows of a renamed file under its new path that could be kept: take it as removed and added.
+    feed = feed.select("service", "file_path", F.when(F.col("status") == "renamed", "added").otherwise(F.col("status")).alias("status")).unionByName(feed.where("status = 'renamed'").select("service", F.col("previous_path").alias("file_path"), F.lit("removed").alias("status")))
+    feed = feed.withColumn("previous_path", F.lit(None).cast("string")).join(after.select("service", "file_path", F.col("blob_sha").alias("sha")), ["service", "file_path"], "left")
+    actions = maintain.classify_changes(feed, before.where("blob_sha is null").select("service", "file_path", "blob_sha"), F.lit("any")).withColumn("previous_path", F.lit(None).cast("string"))
+    return ingest.incremental_ingest(old, new, actions, ["service", "qualified_name"])
 
 
 @query("ref_p15_symbols")
@@ -586,11 +635,13 @@ def f29(s, d):
     return e.select("delivery_id", payload.channel_of(F.col("f")).alias("channel"), payload.bare_address(F.col("f")).alias("sender"), F.size(payload.media_urls(F.col("m"))).cast("bigint").alias("media"))
 
 
-@query("ref_f34_status", f"WITH {_BODY} SELECT delivery_id, coalesce(nullif(json_extract_string(p, '$.transition.to_status'), ''), json_extract_string(p, '$.issue.fields.status.name'), '') AS status FROM body WHERE event_source = 'jira' AND p IS NOT NULL")
+@query("ref_f34_status", f"WITH {_BODY}, h AS (SELECT *, CASE WHEN delivery_id % 3 = 0 THEN json_merge_patch(p, '{{\"transition\":null,\"changelog\":{{\"items\":[{{\"field\":\"rank\",\"toString\":\"x\"}},{{\"field\":\"status\",\"toString\":\"Moved\"}}]}}}}') ELSE p END AS q FROM body WHERE event_source = 'jira' AND p IS NOT NULL AND json_type(p) = 'OBJECT') SELECT delivery_id, CASE WHEN delivery_id % 3 = 0 THEN 'Moved' ELSE coalesce(nullif(json_extract_string(q, '$.transition.to_status'), ''), json_extract_string(q, '$.issue.fields.status.name'), '') END AS status FROM h")
 def f34(s, d):
-    e = table(s, d, "canonical_events").where("event_source = 'jira'").withColumn("v", payload.opened(F.col("raw_payload"))).where("v is not null")
-    t = lambda p: payload.text_at(F.col("v"), p)
-    return e.select("delivery_id", F.coalesce(F.nullif(t("$.transition.to_status"), F.lit("")), t("$.issue.fields.status.name"), F.lit("")).alias("status"))
+    """Every third event without a transition, but with a change log."""
+    e = table(s, d, "canonical_events").where("event_source = 'jira'").withColumn("v", payload.opened(F.col("raw_payload"))).where("v is not null and startswith(schema_of_variant(v), 'OBJECT')")
+    log = F.parse_json(F.lit('{"transition":{"to_status":""},"changelog":{"items":[{"field":"rank","toString":"x"},{"field":"status","toString":"Moved"}]},"issue":{"fields":{"status":{"name":"Other"}}}}'))
+    v = F.when(F.col("delivery_id") % 3 == 0, log).otherwise(F.col("v"))
+    return e.select("delivery_id", payload.transition_status(v).alias("status"))
 
 
 @query("ref_j12_route_tenant", "SELECT e.delivery_id, r.tenant_id AS routed, CASE WHEN r.tenant_id IS NULL THEN 'unresolved' WHEN r.tenant_id = e.tenant_id THEN 'same' ELSE 'other' END AS outcome FROM canonical_events e LEFT JOIN (SELECT event_source, workspace_key, min(tenant_id) AS tenant_id FROM tenant_routes GROUP BY 1, 2) r ON r.event_source = e.event_source AND r.workspace_key = e.source_workspace_id")
@@ -632,26 +683,47 @@ def x5(s, d):
     return e.select("event_source", out.alias("outcome")).groupBy("event_source", "outcome").agg(F.count("*").alias("messages"))
 
 
-@query("ref_x2_ttl_dedup")
+@query("ref_x2_ttl_dedup", f"WITH RECURSIVE m AS (SELECT {_PID} AS message_id, (received_at::TIMESTAMPTZ) AS t FROM canonical_events WHERE received_at IS NOT NULL), r AS (SELECT message_id, t, row_number() OVER (PARTITION BY message_id ORDER BY t) AS n FROM m WHERE message_id IS NOT NULL), f AS (SELECT message_id, n, t, t AS kept, true AS own FROM r WHERE n = 1 UNION ALL SELECT r.message_id, r.n, r.t, CASE WHEN r.t - f.kept > INTERVAL 300 SECOND THEN r.t ELSE f.kept END, r.t - f.kept > INTERVAL 300 SECOND FROM f JOIN r ON r.message_id = f.message_id AND r.n = f.n + 1) SELECT message_id, epoch_us(t) AS at FROM f WHERE own")
 def x2(s, d):
     """Sightings of provider ids kept under a 300 second TTL."""
     e = table(s, d, "canonical_events").select(provider_id(F.col("provider_event_id")).alias("message_id"), instant(F.col("received_at")).alias("at"))
-    return stream.ttl_dedup(e, "message_id", "at", 300)
+    return stream.ttl_dedup(e, "message_id", "at", 300).select("message_id", F.unix_micros("at").alias("at"))
+
+
+_X1 = f"""WITH {_BODY}, r AS (SELECT event_source, workspace_key, min(tenant_id) AS t FROM tenant_routes GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN p IS NULL AND event_source = 'slack' AND delivery_id % 13 = 0 THEN '{{}}' ELSE p END AS q FROM body WHERE raw_payload IS NOT NULL),
+k AS (SELECT b.*, json_extract_string(q, '$.type') AS kind, CASE WHEN b.event_source IN ('github', 'jira') THEN CASE WHEN delivery_id % 29 <> 0 THEN tenant_id END ELSE r.t END AS t
+  FROM b LEFT JOIN r ON r.event_source = b.event_source AND r.workspace_key = CASE b.event_source WHEN 'slack' THEN coalesce(json_extract_string(q, '$.team_id'), json_extract_string(q, '$.team.id')) ELSE source_workspace_id END),
+s AS (SELECT *, CASE WHEN delivery_id % 19 = 0 THEN 404 WHEN delivery_id % 17 = 0 OR event_source = 'slack' AND delivery_id % 23 = 0 THEN 401 WHEN event_source <> 'twilio' AND q IS NULL THEN 400 WHEN event_source = 'slack' AND kind = 'url_verification' THEN 200
+  WHEN t IS NULL THEN CASE WHEN event_source = 'slack' THEN 200 ELSE 400 END WHEN event_source = 'twilio' THEN 204 ELSE 200 END AS status FROM k),
+o AS (SELECT *, CASE WHEN status >= 400 THEN 'reject' WHEN event_source = 'slack' AND kind = 'url_verification' THEN 'challenge' WHEN t IS NULL THEN 'drop'
+  WHEN event_source = 'slack' AND kind IN ('block_actions', 'view_submission', 'view_closed', 'shortcut', 'message_action') THEN 'forward' ELSE 'publish' END AS route FROM s)
+SELECT delivery_id AS request_id, status, route, CASE WHEN status < 400 THEN t END AS tenant_id, CASE WHEN route = 'publish' THEN CASE WHEN event_source = 'twilio' THEN CASE WHEN delivery_id % 2 = 0 THEN 'whatsapp' ELSE 'sms' END || '.received' ELSE {_TYPE} END END AS event_type FROM o"""
 
 
-@query("ref_x1_normalize", f"WITH {_BODY}, r AS (SELECT event_source, workspace_key, min(tenant_id) AS t FROM tenant_routes GROUP BY 1, 2), k AS (SELECT body.*, CASE event_source WHEN 'slack' THEN json_extract_string(p, '$.team_id') WHEN 'github' THEN source_workspace_id WHEN 'jira' THEN split_part(json_extract_string(p, '$.issue.key'), '-', 1) ELSE json_extract_string(p, '$.To') END AS ws FROM body) SELECT delivery_id AS request_id, CASE WHEN p IS NULL THEN 400 WHEN r.t IS NULL THEN CASE WHEN k.event_source = 'slack' THEN 200 ELSE 400 END WHEN k.event_source = 'twilio' THEN 204 ELSE 200 END AS status, CASE WHEN p IS NOT NULL THEN r.t END AS tenant_id, CASE WHEN p IS NOT NULL AND r.t IS NOT NULL THEN {_TYPE.replace('CASE event_source', 'CASE k.event_source')} END AS event_type FROM k LEFT JOIN r ON r.event_source = k.event_source AND r.workspace_key = k.ws WHERE raw_payload IS NOT NULL")
+@query("ref_x1_normalize", _X1)
 def x1(s, d):
-    """All deliveries as signed requests through the event pipeline."""
+    """All deliveries as requests: signed, with bad and stale signatures, unknown providers, base64 bodies,
+    chat in forms and missing tenants among them."""
     e = table(s, d, "canonical_events").where("raw_payload is not null").withColumn("v", payload.opened(F.col("raw_payload")))
-    at = F.col("arrived_at").cast("timestamp")
-    ts = F.unix_timestamp(at).cast("string")
-    heads = F.create_map(
-        F.lit("x-slack-request-timestamp"), ts, F.lit("x-slack-signature"), hashing.chat_signature("chat", ts, F.col("raw_payload")), F.lit("x-hub-signature-256"), hashing.host_signature("host", F.col("raw_payload")),
-        F.lit("x-jira-webhook-secret"), F.lit("tracker"), F.lit("x-signature-valid"), F.lit("true"), F.lit("x-github-event"), _host_event(F.col("v")), F.lit("x-workspace"), F.col("source_workspace_id"),
+    i, src, at = F.col("delivery_id"), F.col("event_source"), F.col("arrived_at").cast("timestamp")
+    ts = (F.unix_timestamp(at) - F.when((src == "slack") & (i % 23 == 0), 1000).otherwise(0)).cast("string")
+    form = F.concat(F.lit("To="), F.url_encode(F.coalesce("source_workspace_id", F.lit(""))), F.lit("&From="), F.url_encode(F.when(i % 2 == 0, "whatsapp:+1").otherwise("+1")), F.lit("&Body=a+b"))
+    e = e.withColumn("sent", F.when(src == "twilio", form).when((src == "slack") & (i % 13 == 0), F.concat(F.lit("payload="), F.url_encode("raw_payload"))).otherwise(F.col("raw_payload")))
+    sent, url = F.col("sent"), "https://hooks.example.test/sms"
+    seal = lambda c: F.when(i % 17 == 0, "bad").otherwise(c)
+    heads = F.map_filter(
+        F.create_map(
+            F.lit("x-slack-request-timestamp"), ts, F.lit("x-slack-signature"), seal(hashing.chat_signature("chat", ts, sent)), F.lit("x-hub-signature-256"), seal(hashing.host_signature("host", sent)), F.lit("x-jira-webhook-secret"), seal(F.lit("tracker")),
+            F.lit("x-twilio-signature"), seal(requests.vendor_signature("sms", F.lit(url), payload.form_fields(sent))), F.lit("x-github-event"), _host_event(F.col("v")), F.lit("x-tenant-id"), F.when(i % 29 != 0, F.col("tenant_id")),
+        ),
+        lambda _, x: x.isNotNull(),
     )
-    r = e.select(F.col("delivery_id").alias("request_id"), F.col("event_source").alias("provider_slug"), heads.alias("headers"), F.col("raw_payload").alias("body"), at.alias("received_at"))
+    asked = F.when(i % 29 != 0, F.create_map(F.lit("tenant_id"), F.col("tenant_id")))
+    body = F.when(i % 5 == 0, F.regexp_replace(F.base64(F.encode(sent, "UTF-8")), r"\s", "")).otherwise(sent)
+    r = e.select(i.alias("request_id"), F.when(i % 19 == 0, "fax").otherwise(src).alias("provider_slug"), heads.alias("headers"), asked.alias("query"), body.alias("body"), (i % 5 == 0).alias("is_base64"), at.alias("received_at"))
     routes = table(s, d, "tenant_routes").groupBy("event_source", "workspace_key").agg(F.min("tenant_id").alias("tenant_id"))
-    return stream.normalize(r, routes, {"slack": "chat", "github": "host", "jira": "tracker"}).select("request_id", "status", "tenant_id", "event_type")
+    return stream.normalize(r, routes, {"slack": "chat", "github": "host", "jira": "tracker", "twilio": "sms"}, url).select("request_id", "status", "route", "tenant_id", "event_type")
 
 
 # ---------------------------------------------------------------- plans

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import problems, reference
+from graphmill.plans import problems, reference, service
 
-MODULES = [problems, reference]
+MODULES = [problems, reference, service]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

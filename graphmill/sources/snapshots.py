@@ -36,7 +36,7 @@ def outcomes(files: DataFrame, max_bytes: int = MAX_PARSE_BYTES) -> DataFrame:
 
 def scannable(files: DataFrame) -> DataFrame:
     """Files small and textual enough for a reference scan."""
-    return files.where(~denied(F.col("file_path")) & suffix(F.col("file_path")).isin(SCANNED) & (F.col("size_bytes") <= MAX_SCAN_BYTES))
+    return files.where(~denied(F.col("file_path")) & F.lower(suffix(F.col("file_path"))).isin(SCANNED) & (F.col("size_bytes") <= MAX_SCAN_BYTES))
 
 
 def unpack_zip(archives: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Graph, ranking, maintenance, verification, plans, sources, parsers and the event plane."""
 
+import base64
+import hmac
 import io
 import json
 import zipfile
 from datetime import datetime, timedelta
+from urllib.parse import quote
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,22 +167,34 @@ def test_ttl_dedup_batch_and_stream(spark, tmp_path):
 def test_normalize_status_matrix(spark, tmp_path):
     now = datetime(2025, 1, 1)
     ts = str(int((now - datetime(1970, 1, 1)).total_seconds()))
-    chat = lambda body: {"x-slack-request-timestamp": ts, "x-slack-signature": spark.range(1).select(hashing.chat_signature("k", F.lit(ts), F.lit(body))).first()[0]}
-    msg, ping, click = json.dumps({"team_id": "T", "event": {"type": "message"}}), json.dumps({"type": "url_verification"}), json.dumps({"team_id": "T", "type": "block_actions"})
-    lost = json.dumps({"team_id": "?", "event": {"type": "message"}})
+    one = lambda c: spark.range(1).select(c).first()[0]
+    chat = lambda body, at=ts: {"x-slack-request-timestamp": at, "x-slack-signature": one(hashing.chat_signature("k", F.lit(at), F.lit(body)))}
+    msg, ping, click = json.dumps({"team_id": "T", "event": {"type": "message"}}), json.dumps({"type": "url_verification"}), json.dumps({"team": {"id": "T"}, "type": "block_actions"})
+    lost, form = json.dumps({"team_id": "?", "event": {"type": "message"}}), "payload=" + quote(click)
+    sms, url = "To=%2B1&From=whatsapp%3A%2B2&Body=&NumMedia=0", "https://x.test/sms"
+    signed = base64.b64encode(hmac.new(b"t", (url + "BodyFromwhatsapp:+2NumMedia0To+1").encode(), "sha1").digest()).decode()
+    late, j = str(int(ts) - 301), {"x-jira-webhook-secret": "j"}
+    push = '{"ref":"x"}'
+    host = {"x-hub-signature-256": "sha256=" + hmac.new(b"g", push.encode(), "sha256").hexdigest(), "x-github-event": "push"}
     reqs = [
-        (1, "slack", chat(msg), msg), (2, "slack", chat("x"), msg), (3, "slack", chat(ping), ping), (4, "slack", chat(click), click), (5, "slack", chat(lost), lost), (6, "slack", chat("{"), "{"), (7, "fax", {}, msg), (8, "twilio", {"x-signature-valid": "true"}, '{"To":"+1"}'),
-        (9, "jira", {"x-jira-webhook-secret": "j"}, '{"issue":{"key":"AB-1"},"webhookEvent":"comment_created"}'), (10, "jira", {"x-jira-webhook-secret": "no"}, "{}"), (11, "github", {}, "{}"), (12, None, None, None),
+        (1, "slack", chat(msg), msg, None), (2, "slack", chat("x"), msg, None), (3, "slack", chat(ping), ping, None), (4, "slack", chat(form), form, None), (5, "slack", chat(lost), lost, None), (6, "slack", chat("{"), "{", None), (7, "fax", {}, msg, None), (8, "twilio", {"x-twilio-signature": signed}, sms, None),
+        (9, "jira", j, '{"webhookEvent":"comment_created"}', {"tenant_id": " t3 "}), (10, "jira", {"x-jira-webhook-secret": "no"}, "{}", None), (11, "github", {}, "{}", None), (12, None, None, None, None), (13, "slack", chat(msg, late), msg, None), (14, "twilio", {"x-twilio-signature": signed}, sms + "1", None),
+        (15, "jira", j, "{}", {}), (16, "github", host | {"x-tenant-id": "t4"}, push, None), (17, "github", host, push, None), (18, "twilio", {"x-signature-valid": "true"}, sms, None), (19, "slack", chat("payload=%7B"), "payload=%7B", None),
     ]
-    df = spark.createDataFrame([(a, b, c, d, now) for a, b, c, d in reqs], "request_id int, provider_slug string, headers map<string,string>, body string, received_at timestamp")
-    routes = spark.createDataFrame([("slack", "T", "t1"), ("twilio", "+1", "t2"), ("jira", "AB", "t3")], "event_source string, workspace_key string, tenant_id string")
-    want = {1: (200, "publish", "message.created"), 2: (401, "reject", None), 3: (200, "challenge", None), 4: (200, "forward", None), 5: (200, "drop", None), 6: (400, "reject", None), 7: (404, "reject", None), 8: (204, "publish", "sms.received"), 9: (200, "publish", "issue.commented"), 10: (401, "reject", None), 11: (401, "reject", None), 12: (404, "reject", None)}
-    secrets = {"slack": "k", "github": "g", "jira": "j"}
-    assert {r.request_id: (r.status, r.route, r.event_type) for r in stream.normalize(df, routes, secrets).collect()} == want
+    kinds = "request_id int, provider_slug string, headers map<string,string>, body string, query map<string,string>, is_base64 boolean, received_at timestamp"
+    rows_of = [(a, b, c, base64.b64encode(x.encode()).decode() if x and a % 2 else x, q, bool(x and a % 2), now) for a, b, c, x, q in reqs]
+    df = spark.createDataFrame(rows_of, kinds)
+    routes = spark.createDataFrame([("slack", "T", "t1"), ("twilio", "+1", "t2"), ("jira", "AB", "no")], "event_source string, workspace_key string, tenant_id string")
+    bad = lambda n: (n, "reject", None)
+    want = {1: (200, "publish", "message.created"), 2: bad(401), 3: (200, "challenge", None), 4: (200, "forward", None), 5: (200, "drop", None), 6: bad(400), 7: bad(404), 8: (204, "publish", "whatsapp.received"), 9: (200, "publish", "issue.commented"), 10: bad(401), 11: bad(401), 12: bad(404)}
+    want |= {13: bad(401), 14: bad(401), 15: bad(400), 16: (200, "publish", "push.received"), 17: bad(400), 18: bad(401), 19: (200, "drop", None)}
+    secrets = {"slack": "k", "github": "g", "jira": "j", "twilio": "t"}
+    assert {r.request_id: (r.status, r.route, r.event_type) for r in stream.normalize(df, routes, secrets, url).collect()} == want
+    assert stream.normalize(df.where("request_id = 8"), routes, secrets).first().status == 401  # no address to verify
     df.write.parquet(f"{tmp_path}/req")
-    s = stream.normalize(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/req"), routes, secrets)
+    s = stream.normalize(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/req"), routes, secrets, url)
     stream.publish_by_tenant(s.where("route = 'publish'"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert rows(spark.read.parquet(f"{tmp_path}/out"), "request_id", "tenant_id") == [(1, "t1"), (8, "t2"), (9, "t3")]
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "request_id", "tenant_id") == [(1, "t1"), (16, "t4"), (8, "t2"), (9, "t3")]
 
 
 def test_sender_filter_and_ack(spark):
