@@ -384,16 +384,20 @@ class Language:
         if self.inner:
             for t in tokens:
                 for sub in self.inner(t):
-                    if not self._expression(sub, 0):
+                    if not self._expression(sub):
                         return Verdict(False, text[: text.find(t)].count("\n") + 1, "template expression")
         return Verdict(True)
 
-    def _expression(self, text: str, depth: int) -> bool:
-        tokens = self.tokens(text)
-        top = self._top(self.stream(tokens).strip(NL))
-        if top is None or not self.tables.program("expr").match(top):
-            return False
-        return depth > 8 or all(self._expression(x, depth + 1) for t in tokens for x in self.inner(t))
+    def _expression(self, text: str) -> bool:
+        """Whether a template's expression parses, and those of the templates in it, however deep."""
+        todo = [text]
+        while todo:
+            tokens = self.tokens(todo.pop())
+            top = self._top(self.stream(tokens).strip(NL))
+            if top is None or not self.tables.program("expr").match(top):
+                return False
+            todo += [x for t in tokens for x in self.inner(t)]
+        return True
 
     def _line(self, tokens: list[str]) -> int:
         """Line of the first token that no continuation can save."""
@@ -501,17 +505,46 @@ def _strings(token: str) -> list[str]:
     return out
 
 
-def _kind(quotes: str, template: str = "", regexes: bool = False):
+#: What no literal of a language may hold: escapes it does not know, digits outside the base.
+_ECMA_BAD = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))")
+_JAVA_BAD = re.compile(r"(?<!\\)(?:\\\\)*\\(?:[^btnfrs\"'\\0-7u\n]|u+(?![0-9a-fA-F]{4}))")
+_KOTLIN_BAD = re.compile(r"(?<!\\)(?:\\\\)*\\(?:[^tbnr'\"\\$u]|u(?![0-9a-fA-F]{4}))")
+_ECMA_NUMBER = re.compile(r"0[0-9_]+n|0\d*_\d*|.*__.*|.*_n?")
+_JAVA_NUMBER = re.compile(r"0[0-7_]*[89][0-9_]*[lL]?|[^fFdD.eE]*_[lL]?")
+
+
+def _closed_pattern(t: str) -> bool:
+    """Whether the groups and classes of a pattern literal close."""
+    depth = inside = i = 0
+    while i < len(t):
+        c = t[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if depth < 0:
+                return False
+        i += 1
+    return depth == 0 and not inside
+
+
+def _kind(quotes: str, template: str = "", regexes: bool = False, escapes: re.Pattern | None = None, numbers: re.Pattern | None = None):
     def of(t: str) -> str:
         c = t[0]
         if c in quotes:
+            if escapes is not None and c not in template and "\\" in t and escapes.search(t):
+                return "?"
             return ("t" if c in template else "s") if len(t) > 1 and t[-1] == c else "?"
         if c.isdigit() or c == "." and len(t) > 1:
-            return "n"
+            return "?" if numbers is not None and numbers.fullmatch(t) else "n"
         if c == "#" and len(t) > 1:
             return "p"
         if regexes and c == "/" and len(t) > 1:
-            return "r"
+            return "r" if _closed_pattern(t[1 : t.rindex("/")]) else "?"
         if c.isalpha() or c in "_$\\":
             return "i"
         return "?"
@@ -525,8 +558,10 @@ def _kotlin_kind(t: str) -> str:
     if t[0] == "`":
         return "i" if len(t) > 2 else "?"
     if t[0] in "\"'":
-        return "?" if len(t) < 2 or t[-1] != t[0] else "s" if t[0] == '"' else "n"
-    return _kind("")(t)
+        if len(t) < 2 or t[-1] != t[0] or "\\" in t and not t.startswith('"""') and "${" not in t and _KOTLIN_BAD.search(t):
+            return "?"
+        return "s" if t[0] == '"' else "n"
+    return _kotlin_rest(t)
 
 
 def build(language: str) -> Language:
@@ -536,7 +571,7 @@ def build(language: str) -> Language:
         after = [*"{ ( [ , < > + - * / % & | ^ ! ~ ? : = . ... => ?.".split(), *ECMA_BINARY_LONG, *ECMA_ASSIGN, ";", "else", "do", "in", "instanceof", "extends", "case", "typeof", "new"]
         after.remove("!")
         before = [*") ] , . ?. ? : = => * / % & | ^ < >".split(), *[x for x in ECMA_BINARY_LONG if x != "!="], "!=", *ECMA_ASSIGN, "else", "catch", "finally", "in", "instanceof", "{", "}"]
-        return Language("ecma.g", ECMA_HARD, soft, ECMA_OPS, {"BINOP": ECMA_BINARY + ECMA_BINARY_LONG, "ASSIGN": ECMA_ASSIGN}, _ECMA_SCAN, {"of": _kind("'\"`", "`", True), "inner": lambda t: _strings(t) if t[0] == "`" else []}, ts, after, before)
+        return Language("ecma.g", ECMA_HARD, soft, ECMA_OPS, {"BINOP": ECMA_BINARY + ECMA_BINARY_LONG, "ASSIGN": ECMA_ASSIGN}, _ECMA_SCAN, {"of": _kind("'\"`", "`", True, _ECMA_BAD, _ECMA_NUMBER), "inner": lambda t: _strings(t) if t[0] == "`" else []}, ts, after, before)
     if language == "java":
         return Language("java.g", JAVA_HARD + JAVA_UNUSED, JAVA_SOFT, JAVA_OPS, {"MODIFIER": JAVA_MODIFIER, "PRIM": JAVA_PRIM, "BINOP": JAVA_BINARY + JAVA_BINARY_LONG, "ASSIGN": JAVA_ASSIGN}, _JAVA_SCAN, {"of": _java_kind})
     if language == "kotlin":
@@ -551,8 +586,12 @@ def _java_kind(t: str) -> str:
     if t in ("true", "false", "null"):
         return "n"
     if t[0] == "'":
-        return "n" if len(t) > 2 and t[-1] == "'" else "?"
-    return _kind('"')(t)
+        return "n" if len(t) > 2 and t[-1] == "'" and not ("\\" in t and _JAVA_BAD.search(t)) else "?"
+    return _java_rest(t)
+
+
+_java_rest = _kind('"', escapes=_JAVA_BAD, numbers=_JAVA_NUMBER)
+_kotlin_rest = _kind("")
 
 
 def _kotlin_word(t: str) -> str:

@@ -20,7 +20,8 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return invalid_files(table(spark, sf_dir, "source_files"), where=False).select("file_id")
+    """Files with a first unrecoverable error, which is looked for as in ``p5_errors``."""
+    return invalid_files(table(spark, sf_dir, "source_files")).select("file_id")
 
 
 def p5_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import symtable
 import warnings
 from collections.abc import Iterator
@@ -26,12 +25,8 @@ def text_of(content: bytes) -> str:
 
 
 def _parses_python(text: str) -> None:
-    """Raise if a text is not Python. The symbol table needs the same parse but hands out no tree, which
-    takes half the time; what only it refuses (say, a repeated argument) is left to the grammar's verdict."""
-    try:
-        symtable.symtable(text, "<file>", "exec")
-    except (SyntaxError, ValueError):
-        compile(text, "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+    """Raise if a text is not Python; the symbol table needs the whole parse and refuses repeated arguments too."""
+    symtable.symtable(text, "<file>", "exec")
 
 
 def check_file(content: bytes, lang: str, where: bool = True) -> Verdict:

@@ -116,6 +116,17 @@ def test_documented_functions_of_each_language():
     assert description("/**\n * Text <b>here</b>.\n * @see x\n */") == "Text  here  ." or "Text" in description("/**\n * Text.\n */")
 
 
+@pytest.mark.parametrize(
+    "lang, text, ok",
+    [("javascript", t, False) for t in ("a + b = 3;", "const x;", "x = 08n;", "r = /(/;", 's = "\\x1";', "x = 1__0;", "x = `${`${`${`${`${`${`${`${`${`${+}`}`}`}`}`}`}`}`}`}`;")]
+    + [("java", 'class A { String s = "\\q"; }', False), ("java", "class A { int x = 09; }", False), ("python", "def f(a, a): pass", False), ("kotlin", 'val s = "\\q"', False)]
+    + [("java", "class A { int f(Object o) { return switch (o) { case Foo(int a, int b) when a > 1 -> 1; case Bar(var x) y -> 2; default -> 0; }; } }", True), ("java", 'class A { double d = 09.5, e = 0_9e1; String s = "\\u0041\\s\\0"; }', True)]
+    + [("javascript", "x.y = a || b; [a, b] = c; new A().x = 3; a ? b : c = d; const {x} = y, z = 1; for (const q of r) ; r = /[(]\\)/; s = '\\u{1F600}\\x41'; a = b = c; n = 0n;", True), ("typescript", "declare const x: number; <any>a.b = 3; x!.y = 3;", True), ("kotlin", 'val s = "\\$a \\u0041"; val t = """\\q"""', True)],
+)
+def test_targets_constants_and_literals(lang, text, ok):
+    assert check_file(text.encode(), lang).ok == ok
+
+
 def test_documented_functions_query(spark):
     good = b'def f():\n    """Reads every row and keeps the newest one."""\n'
     rows = [("a.py", "python", good), ("b.py", "python", good + b"def ("), ("c.java", "java", b"class A {\n/** Reads every row and keeps one. */\nvoid f() {}\n"), ("d.java", "java", b"class A {\n/** Reads every row and keeps one. */\nvoid f() {}\n}"), (None, "python", good), ("e.py", "python", None), ("f.css", "css", b"/** Reads every row and keeps one. */")]
