@@ -34,7 +34,7 @@ class Function:
 EMPTY_TALK = re.compile(
     r"(auto[- ]?generated[^.!?]*|generated (by|from|method|code)[^.!?]*|(todo|fixme|xxx|tbd)\b[:. ]*(add|write|fill in|document|description|docs?|documentation|me|this|later|here|the|a|method|function|missing|\W)*"
     r"|(add|write|insert|put|fill in) (a |the |your )?(description|documentation|docs?|comment|text)[^.!?]*|(no|missing|without|empty) (description|documentation|docs?|comment)[^.!?]*|(description|documentation|docs?|docstring|comment)( goes)?( is)?( will be)?( added| written)?( (here|later|missing|needed|to be added|pending|follows|not available|n/a))?"
-    r"|(see|refer to|defined in|documented in|described in|same as|inherited from|inherits? from|overrides|documentation (is )?(in|inherited)|description (is )?(in|inherited))[^.!?]*|(this|the) (method|function) (is|was) (documented|described|generated|defined)[^.!?]*"
+    r"|(see|refer to|defined in|documented in|described in|same as|inherited from|inherits? from|overrides|documentation (is )?(in|inherited)|description (is )?(in|inherited))\b[^.!?]*|(this|the) (method|function) (is|was) (documented|described|generated|defined)[^.!?]*"
     r"|((description|documentation|docs?|comment|text|this)? ?)?(is |are )?(still )?(to be|will be|needs? to be|has to be|must be|should be) (written|added|documented|described|filled in|completed|provided|supplied)\b[^.!?]*|placeholder[^.!?]*|not (yet )?documented[^.!?]*|undocumented[^.!?]*|n/?a|none|\W*)",
     re.I | re.S,
 )

@@ -289,6 +289,10 @@ class Language:
         for x, m in self.marks.items():  # programs see reduced groups only
             self.tables.chars = self.tables.chars | {k: m for k, v in chars.items() if v == x}
         classes["ENDED"] = "(?<=[" + "".join(re.escape(self.tables.chars[w]) for w in (")", "}", "++", "--")) + "])"
+        comma = re.escape(chars[","])
+        self.run = re.compile(f"([^{comma}\\n]{{1,16}}{comma}\\n?)\\1{{3,}}")
+        self.item = re.compile(f"{re.escape(chars['-'])}?[nst]{comma}\\n?")
+        self.items = re.compile(f"(?:{self.item.pattern}){{8,}}")
         ends = re.escape(chars[";"]) + NL
         self.cut = re.compile(f"(?<=[{ends}])")
         self.known: dict[str, str] = {}
@@ -355,7 +359,15 @@ class Language:
         return self.tables.program(name).match(content) is not None
 
     def _reduced(self, group: str) -> str:
-        """The mark of one bracket group: which bracketed rule parts its content satisfies."""
+        """The mark of one bracket group: which bracketed rule parts its content satisfies.
+
+        Every comma of the grammars stands in a loop over one kind of element, so a run of equal short
+        elements (a table of numbers, say) is decided by three of them, and one of literals by its first,
+        its last and one of each kind.
+        """
+        if len(group) > 60:
+            group = self.items.sub(lambda m: "".join([(x := self.item.findall(m[0]))[0], *dict.fromkeys(x), x[-1]]), group)
+            group = self.run.sub(r"\1\1\1", group)
         got = self.known.get(group)
         if got is None:
             kind = self.kind[group[0]]

@@ -127,6 +127,17 @@ def test_targets_constants_and_literals(lang, text, ok):
     assert check_file(text.encode(), lang).ok == ok
 
 
+def test_long_tables_are_read_whole():
+    row = ", ".join(["1", "-2", "'x'", "{a: 1}"] * 400)
+    assert check_file(f"const t = [{row}];".encode(), "javascript").ok
+    for wrong in (", 3 4", ", {a: }", ", , =", ", -"):
+        for at in (0, 800, 1599):
+            parts = row.split(", ")
+            parts[at] += wrong
+            assert not check_file(f"const t = [{', '.join(parts)}];".encode(), "javascript").ok, (wrong, at)
+    assert not check_file(("class A { int[] t = {" + "1, " * 500 + "1 2, " + "1, " * 500 + "}; }").encode(), "java").ok
+
+
 def test_descriptions_that_are_still_to_come():
     for t in ("To be written by the owner of this module", "Documentation will be added once the interface has settled down for good", "See the wiki page of the platform team for everything there is to know about it", "Generated by the build from a template that nobody reads any more in this company"):
         assert not substantive(t, "f", 4), t
