@@ -261,6 +261,7 @@ class Language:
         grouped = "(?<" in scan.replace("(?<=", "").replace("(?<!", "")
         self.scan = regex.compile(f"({scan})" if grouped else scan, regex.S | regex.V1)
         self.first = grouped
+        self.last: tuple[str, list[str]] = ("", [])
         chars: dict[str, str] = {}
         for w in [*hard, *soft, *ops, *[x for g in groups.values() for x in g]]:
             chars.setdefault(w, chr(0xE000 + len(chars)))
@@ -328,8 +329,14 @@ class Language:
         return kinds["of"](token)
 
     def tokens(self, text: str) -> list[str]:
+        """The tokens of a text; those of the last long one are kept, as a walk and a verdict need the same."""
+        if text == self.last[0]:
+            return self.last[1]
         found = self.scan.findall(text)
-        return [t[0] for t in found] if self.first else found
+        found = [t[0] for t in found] if self.first else found
+        if len(text) > 200:  # not the expressions inside templates
+            self.last = (text, found)
+        return found
 
     def stream(self, tokens: list[str]) -> str:
         s = "".join(map(self.lexicon.__getitem__, tokens))
