@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and
-    registered, so a cluster never sees a machine-local path.
+    Where the session names none, a temporary folder is made and registered if Spark runs in one process
+    (tests); a cluster gets an error, never a machine-local path.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             root = found.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="graphmill-")
             spark.sparkContext.setCheckpointDir(root)
