@@ -1,4 +1,9 @@
-"""The k most similar vectors of every vector: vantage-point trees per shard, pruned with relaxation.
+"""The k most similar vectors of every vector: all pairs of blocks, or vantage-point trees per shard.
+
+With a floor and ``relax=1`` every block of vectors meets every other, so the result is exact. A pair is
+compared in a few rotated dimensions and the length of the rest, which bound its cosine from above
+(Cauchy-Schwarz); where that reaches the floor, the cosine is computed in double precision.
+Comparisons grow with the square of the collection. Smaller factors search trees in shards instead:
 
 1. Shards are k-means cells, fitted on a bounded sample; near a border a vector is also copied to the
    next cells, at most ``probes`` in all. Their number grows with the collection, their size does not.
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +103,141 @@ def search_all(x: np.ndarray, k: int, block: int = 512, width: int = 64) -> tupl
     return a, b, cos
 
 
+def _top(a: np.ndarray, b: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest cosines of each ``a``, ties by ``b``."""
+    order = np.lexsort((b, -cos, a))
+    a, b, cos = a[order], b[order], cos[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], cos[keep]
+
+
+def outline(x: np.ndarray, kept: int = 31) -> np.ndarray:
+    """``kept`` rotated dimensions and the length of the rest: their products are no smaller than the cosines."""
+    dims = x.shape[1]
+    if dims <= kept + 1:
+        return x.astype(np.float32)
+    z = x @ np.linalg.qr(np.random.default_rng(3).normal(size=(dims, dims)))[0][:, :kept]
+    return np.column_stack([z, np.sqrt(np.maximum(0, 1 - (z * z).sum(1)))]).astype(np.float32)
+
+
+def join_blocks(x: np.ndarray, y: np.ndarray | None, k: int, min_sim: float, rows: int = 128, width: int = 2048) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(query, neighbour, cosine)`` of unit vectors, k best of each row of ``x`` in ``y``, then of each row of ``y`` in ``x``.
+
+    Without ``y``, of each row of ``x`` among the others, and nothing second. Exact; ties by position.
+    """
+    other = x if y is None else y
+    a, b = outline(x), outline(other)
+    b = np.ascontiguousarray(np.concatenate([b, np.zeros((-len(b) % 8, b.shape[1]), np.float32)]).T)
+    least = np.float32(min_sim - 2e-5)  # slack for single precision and rounding
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    there, back, waiting = [none], [none], 0
+    for i in range(0, len(a), rows):
+        hits = []
+        for j in range(0, b.shape[1], width):
+            near = a[i : i + rows] @ b[:, j : j + width] >= least
+            w = np.flatnonzero(near.reshape(-1).view(np.uint64))  # eight at a time
+            if len(w):
+                at, bit = np.nonzero(near.reshape(-1, 8)[w])
+                hits.append(np.stack(np.divmod(w[at] * 8 + bit, near.shape[1])) + [[i], [j]])
+        if not hits:
+            continue
+        q, n = np.concatenate(hits, axis=1)
+        keep = (n < len(other)) & ((q != n) | (y is not None))
+        q, n = q[keep], n[keep]
+        cos = np.concatenate([np.einsum("ij,ij->i", x[q[s : s + 65536]], other[n[s : s + 65536]]) for s in range(0, len(q), 65536)] or [np.zeros(0)])
+        cos = np.round(cos, 6)
+        keep = cos >= min_sim
+        q, n, cos = q[keep], n[keep], cos[keep]
+        there.append(_top(q, n, cos, k))
+        if y is not None:
+            back.append(_top(n, q, cos, k))
+            waiting += len(back[-1][0])
+            if waiting > 1_000_000:
+                back = [_top(*map(np.concatenate, zip(*back)), k)]
+                waiting = 0
+    return tuple(map(np.concatenate, zip(*there))), _top(*map(np.concatenate, zip(*back)), k)
+
+
+def exact_lists(hashed: DataFrame, count: int, k: int, min_sim: float, dims: int, block_rows: int) -> DataFrame:
+    """``(h1, h2, neighbor, cos)``: at least the k nearest ids of each distinct vector of ``(id, v, h1, h2)``, its own copies among them.
+
+    Blocks of up to ``block_rows`` vectors, copies within a task's share taken once with their k + 1
+    smallest ids, are written once; the pairs of blocks are made by reading them again, without a shuffle.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        held: list[list[np.ndarray]] = []
+
+        def fold() -> None:
+            """One group of rows for each distinct vector, of which the k + 1 smallest ids stay."""
+            ids, h1, h2, v = map(np.concatenate, zip(*held))
+            order = np.lexsort((ids, h2, h1))
+            ids, h1, h2 = ids[order], h1[order], h2[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (np.diff(h1) != 0) | (np.diff(h2) != 0)
+            once = new.copy()
+            once[1:] |= np.diff(ids) != 0
+            order, ids, h1, h2, new = order[once], ids[once], h1[once], h2[once], new[once]
+            start = np.flatnonzero(new)
+            keep = np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids)))) <= k
+            held[:] = [[ids[keep], h1[keep], h2[keep], v[order[keep]]]]
+
+        def block(start: int, stop: int) -> pa.RecordBatch:
+            nonlocal at
+            ids, h1, h2, v = (c[start:stop] for c in held[0])
+            new = np.ones(len(ids), bool)
+            new[1:] = (np.diff(h1) != 0) | (np.diff(h2) != 0)
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(ids)))
+            order = np.argsort(ids[first], kind="stable")  # ties go to the smaller id
+            first, size = first[order], size[order]
+            rows = np.repeat(first, size) + np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+            at += 1
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.array([c], t) for c, t in ((v[first].reshape(-1), pa.list_(pa.float64())), (h1[first], pa.list_(pa.int64())), (h2[first], pa.list_(pa.int64())), (ids[rows], pa.list_(pa.int64())), (size, pa.list_(pa.int64()))))], names=["block", "v", "h1", "h2", "ids", "size"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, h1, h2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            held.append([ids, h1, h2, b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)])
+            if sum(len(h[0]) for h in held) < 2 * block_rows:
+                continue
+            fold()
+            n = len(held[0][0])
+            for start in range(0, n - block_rows, block_rows):
+                yield block(start, start + block_rows)
+            held[:] = [[c[(n - 1) // block_rows * block_rows :] for c in held[0]]]
+        if held:
+            fold()
+            n = len(held[0][0])
+            for start in range(0, n, block_rows):
+                yield block(start, min(n, start + block_rows))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for r in range(t.num_rows):
+                one, two = ([t.column(side + i)[r].values.to_numpy(zero_copy_only=False) for i in range(1, 6)] for side in (0, 6))
+                same = t.column(0)[r] == t.column(6)[r]
+                x = unit_rows(pa.FixedSizeListArray.from_arrays(pa.array(one[0]), dims).cast(pa.list_(pa.float64())), dims)[1]
+                y = None if same else unit_rows(pa.FixedSizeListArray.from_arrays(pa.array(two[0]), dims).cast(pa.list_(pa.float64())), dims)[1]
+                there, back = join_blocks(x, y, k, min_sim)
+                parts = [(one, there, two), (two, back, one)]
+                if same:  # copies are neighbours of each other
+                    own = np.flatnonzero(one[4] > 1)
+                    parts.append((one, (own, own, np.ones(len(own))), one))
+                for (_, h1, h2, _, _), (a, b, cos), (_, _, _, ids, size) in parts:
+                    if len(a):
+                        c = size[b]
+                        n = np.repeat((np.cumsum(size) - size)[b], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h1[a], c)), pa.array(np.repeat(h2[a], c)), pa.array(ids[n]), pa.array(np.repeat(cos, c))], names=["h1", "h2", "neighbor", "cos"])
+
+    columns = "block bigint, v array<double>, h1 array<bigint>, h2 array<bigint>, ids array<bigint>, size array<bigint>"
+    blocks = materialize(hashed.select("id", "v", "h1", "h2").coalesce(max(1, math.ceil(count / block_rows))).mapInArrow(pack, columns), "p2-blocks")
+    second = blocks.select(*(F.col(c).alias(f"{c}_b") for c in blocks.columns))
+    return blocks.hint("shuffle_replicate_nl").join(second, F.col("block") <= F.col("block_b")).mapInArrow(join, "h1 bigint, h2 bigint, neighbor bigint, cos double")
+
+
 def _best(sims: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of each row's k largest rounded values of at least ``floor``, ties by id (columns come in id order)."""
     hit = sims >= floor
@@ -175,7 +316,8 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_si
     null, of another length, all zero or not finite take no part. Repeated ids with one vector count
     once; an id is never its own neighbour. Empty input gives no rows.
 
-    Shards are cosine k-means cells of about ``shard_rows`` vectors. A vector goes to the shard of its
+    With ``min_sim`` and ``relax`` of at least 1 the result is exact: blocks of ``shard_rows`` vectors are
+    compared all with all, and the parameters of trees and routing have no effect. Otherwise shards are cosine k-means cells of about ``shard_rows`` vectors. A vector goes to the shard of its
     nearest centre and to those of up to ``probes`` centres at most ``margin`` farther away, so a vector
     is copied ``probes`` times at most however many shards there are. The centres are fitted on
     ``sample_rows`` rows or eight a shard, whichever is more; every row is indexed. Without ``min_sim``
@@ -185,6 +327,8 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_si
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(f"id is not null and size(v) = {dims} and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     hashed = src.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(17))})
+    if min_sim is not None and relax >= 1:
+        return _ranked(hashed, exact_lists(hashed, df.count(), k, min_sim, dims, shard_rows), k)
     n = src.count()
     cells = math.ceil(n / (shard_rows if min_sim is not None else cell_rows))
     reach = (probes, margin) if min_sim is not None else (4, FULL_CIRCLE)
@@ -237,8 +381,13 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_si
     members = materialize(low.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids")), "p2-members")
     near = pairs.join(members.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "ids"), ["g1", "g2"]).select("h1", "h2", F.explode("ids").alias("neighbor"), "cos")
     copies = members.where(F.size("ids") > 1).select("h1", "h2", F.explode("ids").alias("neighbor"), F.lit(1.0).alias("cos"))
+    return _ranked(hashed, near.unionByName(copies), k)
+
+
+def _ranked(hashed: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """The k first of ``(h1, h2, neighbor, cos)`` for every id of ``hashed``, itself left out."""
     best = F.struct((-F.col("cos")).alias("m"), F.col("neighbor"))
-    lists = near.unionByName(copies).groupBy("h1", "h2").agg(F.slice(F.array_sort(F.collect_set(best)), 1, k + 1).alias("near"))
+    lists = near.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.collect_set(best)), 1, k + 1).alias("near"))
     rows = hashed.select("id", "h1", "h2").distinct().join(lists, ["h1", "h2"])
     ranked = rows.select("id", F.posexplode(F.slice(F.filter("near", lambda s: s["neighbor"] != F.col("id")), 1, k)).alias("rank", "s"))
     return ranked.select("id", F.col("s.neighbor").alias("neighbor"), (-F.col("s.m")).alias("cosine"), (F.col("rank") + 1).alias("rank"))

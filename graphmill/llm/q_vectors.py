@@ -10,7 +10,7 @@ from graphmill.session import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = similar_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", k=5, min_sim=0.85)
+    near = similar_vectors(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", k=5, min_sim=0.85, relax=1.0)
     return mutual_pairs(near).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphmill.llm.neighbors import Cells, mutual_pairs, search_shard, similar_vectors, unit_rows
+from graphmill.llm.neighbors import Cells, mutual_pairs, outline, search_shard, similar_vectors, unit_rows
 from graphmill.llm.spans import Fenwick, aligned_passages, Rolling, chain_segments, documents_with_shared_spans, edits, minimizers, points, shared_passages, shared_report
 
 
@@ -72,6 +72,32 @@ def test_recall_and_copies_over_many_shards():
         assert np.mean([bool(own[a] & own[near[a, b]]) for a, b in zip(q, r)]) >= 0.98
 
 
+def test_found_pairs_equal_brute_force_on_a_whole_table(spark):
+    from graphmill.llm.q_vectors import p2_found
+
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.chunk_id, r.embedding) for r in spark.read.parquet(f"{sf}/chunks.parquet").collect()]
+    ok, _ = unit_rows(pa.array([v for _, v in rows]), 64)
+    want = {(min(a, b), max(a, b)) for a, near in brute_neighbors([rows[i] for i in ok], 5, 0.85).items() for b in near}
+    assert {tuple(r) for r in p2_found(spark, sf).collect()} == want
+
+
+def test_factor_one_is_exact_over_many_blocks(spark):
+    rows = clustered(2500, seed=8)
+    rows += [(3000 + i, rows[i % 3][1]) for i in range(500)] + rows[:50]  # copies in several blocks
+    df = spark.createDataFrame(rows, "chunk_id bigint, embedding array<double>").repartition(7)
+    got = {}
+    for r in similar_vectors(df, "chunk_id", "embedding", k=5, min_sim=0.85, relax=1.0, shard_rows=150).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbor)
+    assert got == {i: n for i, n in brute_neighbors(rows, 5, 0.85).items() if n}
+
+
+def test_outlines_bound_cosines():
+    x = np.random.default_rng(6).normal(size=(300, 64)) * np.linspace(3, 0.1, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (outline(x) @ outline(x).T >= x @ x.T - 1e-5).all()
+
+
 def test_few_distinct_vectors_in_many_shards(spark):
     v = clustered(8)
     rows = [(i, v[i % 5][1]) for i in range(400)]
